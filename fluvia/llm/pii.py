@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
 
