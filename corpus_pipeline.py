@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluvia.llm import quality
-from fluvia.llm.common import table
+from fluvia.llm import lines, packing, pii, quality, simhash
+from fluvia.llm.common import checkpointed, table
+
+
+def _sized(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*names)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +19,39 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", keep_good)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without lines that came before, the same or alike; one that loses all stays, as an empty text."""
+    return _sized(lines.dedup_lines(docs), docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.without_near_duplicates(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return _sized(pii.redact_pii(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_good), ("line_dedup", drop_repeated_lines), ("simhash", keep_one_of_each), ("pii", redact), ("packing", pack)]
 
 #: Learned models and hashing decide the rows, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each result is cut from its plan as if it were written and read."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpointed(docs)
     return docs

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fluvia.llm import bpe, html_text, langid, neighbours, pii, quality, simhash, vectors_dedup
+from fluvia.llm import bpe, html_text, langid, lines, neighbours, packing, pii, quality, simhash, vectors_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,7 +12,9 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op6_neighbours": neighbours.op6_neighbours,
+    "op7_packing": packing.op7_packing,
     "op8_vectors": vectors_dedup.op8_vectors,
+    "op9_lines": lines.op9_lines,
     "op10_html": html_text.op10_html,
     "pipeline": corpus_pipeline.run,
 }
