@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,45 +18,86 @@ from fluvia.llm.neighbours import groups_of
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text of a shard, about; documents are dealt out to shards by a hash. Words whose ids a worker keeps at most.
-SHARD_BYTES, MEMO, LONG_WORD = 4_000_000, 500_000, 64
+SHARD_BYTES, MEMO, LONG_WORD = 4_000_000, 900_000, 64
 #: Of a seed's words the weightiest so many ask the index; BM25's usual constants.
 ASKED, K1, B = 32, 1.2, 0.75
 #: White space to Python's split, but not to the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
+#: Marks that the tokenizer parts from letters before them.
+MARKS = ".,!?;:#$%&*|()[]"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never looks across white space, so each word's are found once."""
+    """Ids of texts by a tokenizer that never looks across white space, so each word's are found once.
+
+    The tokenizer also parts a run of letters from the marks behind it, and small letters stand for capitals. So words that
+    differ in those alone share what is held of their letters.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids beyond 16 bits")
+        self.ends = np.zeros(1 << 16, bool)  # ids that end a word
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded together and parted where a word ends."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(stops) == len(some):
+                raw, start = ids.tobytes(), 0
+                for stop in stops.tolist():
+                    out.append(raw[start:stop])
+                    start = stop
+            else:
+                out += map(self._ids, some)
+        return out
 
     def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO and len(words) < MEMO:
-            self.memo.clear()
-        self.memo.update(zip(words, self._ids(words), strict=True))
+        for held, most in ((self.memo, MEMO), (self.letters, MEMO)):
+            if len(held) + len(words) > most and len(words) < most:
+                held.clear()
+        parted, fresh = [], {}
+        for w in words:
+            run = w.rstrip(MARKS)
+            if run.isalpha() and len(w) <= LONG_WORD:
+                low = run.lower() if run.isascii() or not ("\u03a3" in run or "\u0130" in run) else run
+                parted.append((w, low, w[len(run) :]))
+                if low not in self.letters:
+                    fresh[low] = None
+            else:
+                self.memo[w] = self._ids(w)
+        if fresh:
+            self.letters.update(zip(fresh, self._runs(list(fresh)), strict=True))
+        for w, low, mark in parted:
+            if mark not in self.marks:
+                self.marks[mark] = self._ids(mark)
+            self.memo[w] = self.letters[low] + self.marks[mark]
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 16-bit little-endian numbers."""
         words = text.split()
         if any(c in text for c in ODD):
-            return self._ids([text])[0]
+            return self._ids(text)
         while True:
             try:
-                out = b"".join(map(self.memo.__getitem__, words))
-                break
+                return b"".join(map(self.memo.__getitem__, words))
             except KeyError:
                 self.learn([w for w in dict.fromkeys(words) if w not in self.memo])
-        return out
 
 
 @functools.lru_cache(maxsize=2)
