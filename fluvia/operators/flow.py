@@ -360,6 +360,9 @@ class Flow:
     def write_avro(self, path: str, append: bool = False, one: bool = False) -> None:
         writers.write_avro(self.df, path, append, one)
 
+    def write_with(self, make: Callable[[], writers.Writer], rows_a_flush: int = 1000) -> None:
+        writers.write_with(self.df, make, rows_a_flush)
+
     def write_kafka(self, servers: str, topic: str, checkpoint: str | None = None) -> Any:
         return writers.write_kafka(self.df, servers, topic, checkpoint)
 

@@ -90,6 +90,12 @@ def _parquet(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+def _avro(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark)
+    writers.write_avro(t.part.df.select("p_partkey", "p_name", "p_size", "p_retailprice"), folder)
+    return readers.avro(t.spark, folder)
+
+
 def _cached(t: Tables) -> DataFrame:
     held = t.timed.collect_cache("disk")
     return held.stream().group_by_count("user_id", "n").df.join(held.stream().group_by_sum("user_id", "cents", "total").df, "user_id")
@@ -132,6 +138,7 @@ add("accidents_q3", lambda t: accidents_by_borough(accidents(t)), f"WITH {_ACC}
 add("accidents_shared", accidents_shared, f"WITH {_ACC}, a AS (SELECT count(*) AS n FROM acc WHERE killed > 0 GROUP BY year, week), b AS (SELECT count(*) AS n FROM (SELECT unnest(list_distinct([factor1, factor2])) AS factor FROM acc) WHERE factor <> '' GROUP BY factor), c AS (SELECT count(*) AS n FROM acc GROUP BY borough, year, week) SELECT 'week' AS q, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM a UNION ALL SELECT 'factor', CAST(sum(n) AS BIGINT), count(*) FROM b UNION ALL SELECT 'borough', CAST(sum(n) AS BIGINT), count(*) FROM c")
 add("csv_roundtrip", _csv, "SELECT p_partkey, lower(hex(p_partkey)) AS hex, p_name FROM part")
 add("parquet_roundtrip", _parquet, "SELECT p_partkey, p_retailprice, printf('%o', p_partkey) AS oct FROM part")
+add("avro_roundtrip", _avro, "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 add("cache_reuse", _cached, "SELECT user_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM timed GROUP BY user_id")
 add("parallel_source", _generated, "SELECT range AS x FROM range(1000)")
 add("range_source", lambda t: t.spark.range(0, 1000, 1, 8), "SELECT range AS id FROM range(1000)")

@@ -83,9 +83,21 @@ def _needs(spark: SparkSession, fmt: str, package: str) -> None:
         raise RuntimeError(f"the {fmt} source needs the package {package} on Spark's class path (spark.jars.packages)") from e
 
 
+def has_format(spark: SparkSession, fmt: str) -> bool:
+    try:
+        _needs(spark, fmt, "")
+    except RuntimeError:
+        return False
+    return True
+
+
 def avro(spark: SparkSession, path: str) -> DataFrame:
-    _needs(spark, "avro", "org.apache.spark:spark-avro_2.13")
-    return spark.read.format("avro").load(path)
+    """Avro files, by Spark's own package where it is there."""
+    if has_format(spark, "avro"):
+        return spark.read.format("avro").load(path)
+    from fluvia.sources import avro_files
+
+    return avro_files.read(spark, path)
 
 
 def kafka(spark: SparkSession, servers: str, topics: list[str], streaming: bool = True, **options: str) -> DataFrame:

@@ -39,10 +39,43 @@ def write_parquet(df: DataFrame, path: str, append: bool = False, one: bool = Fa
 
 
 def write_avro(df: DataFrame, path: str, append: bool = False, one: bool = False) -> None:
-    from fluvia.sources.readers import _needs
+    from fluvia.sources import avro_files
+    from fluvia.sources.readers import has_format
+
+    if has_format(df.sparkSession, "avro"):
+        (df.coalesce(1) if one else df).write.mode("append" if append else "overwrite").format("avro").save(path)
+    else:
+        avro_files.write(df, path, one)
+
+
+class Writer:
+    """A pluggable sink: one is made for each partition that is written."""
+
+    def setup(self, partition: int) -> None: ...
+
+    def write(self, row: Any) -> None: ...
+
+    def flush(self) -> None: ...
+
+    def finalize(self) -> None: ...
+
+
+def write_with(df: DataFrame, make: Callable[[], Writer], rows_a_flush: int = 1000) -> None:
+    """Sends each partition's rows through a writer of its own."""
+
+    def run(rows: Any) -> None:
+        from pyspark import TaskContext
+
+        writer = make()
+        writer.setup(TaskContext.get().partitionId())
+        for k, row in enumerate(rows, 1):
+            writer.write(row)
+            if k % rows_a_flush == 0:
+                writer.flush()
+        writer.flush()
+        writer.finalize()
 
-    _needs(df.sparkSession, "avro", "org.apache.spark:spark-avro_2.13")
-    (df.coalesce(1) if one else df).write.mode("append" if append else "overwrite").format("avro").save(path)
+    df.foreachPartition(run)
 
 
 def write_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str | None = None) -> Any:
