@@ -104,30 +104,23 @@ def test_avro_foreign_schema():
         assert A.read_long(io.BytesIO(bytes(out))) == n
 
 
-class Lines:
-    """A writer for the test below."""
-
-    def __init__(self, folder):
-        self.folder = folder
-
-    def setup(self, partition):
-        self.file = open(f"{self.folder}/{partition}", "w")  # noqa: SIM115
-
-    def write(self, row):
-        self.file.write(f"{row['id']}\n")
+def test_pluggable_writer(ctx, tmp_path):
+    from fluvia.sources.writers import Writer
 
-    def flush(self):
-        self.file.flush()
+    folder = str(tmp_path)
 
-    def finalize(self):
-        self.file.close()
+    def make():
+        class Lines(Writer):
+            def setup(self, partition):
+                self.file = open(f"{folder}/{partition}", "w")  # noqa: SIM115
 
+            def write(self, row):
+                self.file.write(f"{row['id']}\n")
 
-def test_pluggable_writer(ctx, tmp_path):
-    folder = str(tmp_path)
+            def finalize(self):
+                self.file.close()
 
-    def make():
-        return Lines(folder)
+        return Lines()
 
     ctx.stream_range(0, 50, 4).write_with(make, 7)
     assert sorted(int(x) for p in tmp_path.iterdir() for x in p.read_text().split()) == list(range(50))
@@ -174,5 +167,5 @@ def test_plans(spark, tmp_path):
     plan = flow.filter("k = 3").map("id").df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,3)" in plan and "ReadSchema: struct<id:bigint,k:bigint>" in plan
     big = Flow(spark.range(1 << 40).toDF("b"))
-    joined = flow.join_with(big, "id", "b").ship_broadcast_right().inner()
+    joined = big.map(id="b").join_with(big, "id", "b").ship_broadcast_right().inner()
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()

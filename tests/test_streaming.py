@@ -29,11 +29,11 @@ def rows(df):
 
 
 def test_window_counts_and_late_rows(stream):
-    s = stream([(1, 0, 10, 1), (2, 0, 70, 1)], [(3, 0, 500, 1)], [(4, 0, 20, 1), (5, 0, 9999, 1)])
+    s = stream([(1, 0, 10, 1), (2, 0, 70, 1)], [(3, 0, 500, 1)], [(6, 0, 600, 1)], [(4, 0, 20, 1), (5, 0, 9999, 1)])
     out = run_available(Flow(s.withWatermark("at", "60 seconds"), "at").group_by("k").window(EventTimeWindow.tumbling("1 minute")).count("n").df)
     got = rows(out.select(F.unix_seconds("window_id.start"), "n"))
     # the row of second 20 came when the watermark had passed its window
-    assert [g for g in got if g[0] < 9000] == [(0, 1), (60, 1), (480, 1)]
+    assert [g for g in got if g[0] < 9000] == [(0, 1), (60, 1), (480, 1), (600, 1)]
 
 
 def test_dedup_within_stream(stream):
