@@ -156,15 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return model
 
 
-def score_quality(docs: DataFrame, model: MilModel, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The carried columns and score, 0 to 1, of every row. A null text counts as empty; an empty one has one bare passage."""
+def score_quality(docs: DataFrame, model: MilModel, carry: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The carried columns and a score, 0 to 1, of every row. A null text counts as empty; an empty one has one bare passage."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     names = [*dict.fromkeys([*carry, text_col])]
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        return {k: c[k] for k in carry} | {"score": model.score(*features([t or "" for t in c[text_col]])).tolist()}
+        return {k: c[k] for k in carry} | {name: model.score(*features([t or "" for t in c[text_col]])).tolist()}
 
-    return map_slices(docs, names, f"{schema}, score double", work)
+    return map_slices(docs, names, f"{schema}, `{name}` double", work)
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> MilModel:
@@ -183,4 +183,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; columns stay as they are."""
     names = docs.columns
-    return score_quality(docs, learned(docs, labels), names).where(F.col("score") >= THRESHOLD).select(*names)
+    return score_quality(docs, learned(docs, labels), names, name="__score").where(F.col("__score") >= THRESHOLD).select(*names)
