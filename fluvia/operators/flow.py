@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.operators import iteration, joins
-from fluvia.operators.base import Expr, col, dense_index, listed, memo, one_row
+from fluvia.operators.base import Expr, col, dense_index, listed, memo, one_row, running_sums
 from fluvia.sources import writers
 
 
@@ -116,10 +116,17 @@ class Flow:
     # ---- stateful over all rows --------------------------------------------------------------------------------
 
     def rich_map(self, order_by: Expr | list[Expr], **running: Column) -> Flow:
-        """Running aggregates or window functions over all rows so far, by order."""
+        """Running aggregates or window functions over all rows so far, by order.
+
+        One global order of any aggregate is one task's work; running_sums and enumerate do sums, counts and numbers in parallel.
+        """
         w = Window.orderBy(*listed(order_by))
         return self._as(self.df.withColumns({k: v.over(w) for k, v in running.items()}))
 
+    def running_sums(self, order_by: Expr | list[Expr], **sums: Column) -> Flow:
+        """Running sums over all rows in order; nothing is sorted in one task."""
+        return self._as(running_sums(self.df, listed(order_by), sums))
+
     def rich_filter_map(self, order_by: Expr | list[Expr], condition: Column, **running: Column) -> Flow:
         return self.rich_map(order_by, **running).filter(condition)
 

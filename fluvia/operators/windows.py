@@ -87,9 +87,10 @@ class CountWindow:
         if self.exact:
             return out.drop("__rn"), [WINDOW], F.count(F.lit(1)) == self.size
         # the first incomplete window is the first that the complete ones leave
-        last = F.max("__rn").over(Window.partitionBy(*keys)) if keys else F.max("__rn").over(Window.partitionBy())
-        out = out.withColumn("__full", F.greatest(F.lit(0), F.floor((last + 1 - self.size) / slide) + 1)).where(F.col(WINDOW) <= F.col("__full"))
-        return out.drop("__rn", "__full"), [WINDOW], None
+        last = placed.groupBy(*keys).agg(F.max("__rn").alias("__last"))
+        out = out.join(last, keys) if keys else out.crossJoin(F.broadcast(last))
+        full = F.greatest(F.lit(0), F.floor((F.col("__last") + 1 - self.size) / slide) + 1)
+        return out.where(F.col(WINDOW) <= full).drop("__rn", "__last"), [WINDOW], None
 
 
 @dataclass(frozen=True)

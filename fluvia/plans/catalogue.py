@@ -72,6 +72,7 @@ async def _async_double(x: int) -> int:
 
 add("rich_map_prefix_sum", lambda t: t.timed.group_by("user_id").rich_map(["ms", "event_id"], total=F.sum("cents")).df.select("event_id", "total"), "SELECT event_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM timed")
 add("rich_map_enumerate", lambda t: t.timed.enumerate("event_id").df.select("event_id", F.col("index").cast("bigint").alias("index")), "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS index FROM timed")
+add("running_sums", lambda t: t.timed.running_sums("event_id", total=F.col("cents"), n=F.lit(1).cast("bigint")).df.select("event_id", "total", "n"), "SELECT event_id, CAST(sum(cents) OVER w AS BIGINT) AS total, row_number() OVER w AS n FROM timed WINDOW w AS (ORDER BY event_id)")
 add("rich_filter_map_positive_prefix", lambda t: t.timed.with_columns(x=F.col("cents") - 2500).group_by("user_id").rich_filter_map(["ms", "event_id"], F.col("total") > 0, total=F.sum("x")).df.select("event_id", "total"), "SELECT * FROM (SELECT event_id, CAST(sum(cents - 2500) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM timed) WHERE total > 0")
 add("rich_flat_map_pairs", lambda t: _earlier_pairs(t), "SELECT a.event_id AS earlier, b.event_id AS later FROM timed a JOIN timed b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ms - a.ms <= 3600000")
 add("rich_map_pandas", lambda t: t.timed.group_by("user_id").rich_map_pandas(_since_last, "user_id bigint, event_id bigint, gap bigint", ["ms", "event_id"]).df.select("event_id", "gap"), "SELECT event_id, ms - coalesce(lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id), ms) AS gap FROM timed")
