@@ -29,16 +29,24 @@ PARTS = frozenset(
     "nav navbar navigation menu menubar topbar header footer masthead sidebar aside ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs related recommended comment comments disqus respond reply replies widget toolbar pagination pager search contentinfo complementary".split()
 )
 
+#: Of these, words that mean what readers wrote or advertisers placed hold for an article element too; with a word that only
+#: tells of a part elsewhere, as in has-sidebar, the others say nothing.
+OTHERS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion related recommended comment comments disqus respond reply replies".split())
+TELLING = frozenset("has have no with without".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "article", "children")
+    """An element: hard and soft tell that its tag or its class says that it isn't content; an article within what is only
+    soft is content again."""
+
+    __slots__ = ("tag", "path", "hard", "soft", "article", "children")
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: bool):
-        self.tag, self.path, self.dropped, self.article, self.children = tag, path, dropped, article, []
+    def __init__(self, tag: str, path: int, hard: bool, soft: bool, article: bool):
+        self.tag, self.path, self.hard, self.soft, self.article, self.children = tag, path, hard, soft, article, []
 
 
 def short_hash(s: str) -> int:
@@ -48,7 +56,7 @@ def short_hash(s: str) -> int:
 def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[Node]]:
     """Blocks in page order as (text, dropped by its element's meaning, within an article, paths of the elements around it),
     and all elements. A path names an element by its own and its ancestors' tags and classes."""
-    root = Node("#", 0, False, False)
+    root = Node("#", 0, False, False, False)
     stack, nodes, blocks, piece = [root], [], [], []
 
     def flush() -> None:
@@ -57,7 +65,7 @@ def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list
             piece.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, top.dropped, top.article, tuple(n.path for n in stack[1:])))
+                blocks.append((text, top.hard or top.soft, top.article, tuple(n.path for n in stack[1:])))
 
     def close(k: int) -> None:
         if any(n.tag not in INLINE for n in stack[k:]):
@@ -116,8 +124,13 @@ def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list
         names = [v.strip("\"'") for _, v in NAMED.findall(attrs)] if attrs and "=" in attrs else []
         words = {w.lower() for v in names for w in WORD.findall(v)}
         main = tag in ("article", "main")
-        dropped = up.dropped or (tag in NO_CONTENT and not (tag == "header" and up.article)) or (tag not in ("html", "body") and bool(words & PARTS))
-        node = Node(tag, up.path, dropped, up.article or main)
+        hard = up.hard or (tag in NO_CONTENT and not (tag == "header" and up.article))
+        if main:
+            soft = bool(words & OTHERS)
+        else:
+            named = words & PARTS - {"header"} if up.article else words & PARTS
+            soft = up.soft or (tag not in ("html", "body") and bool(named) and not words & TELLING)
+        node = Node(tag, up.path, hard, soft, up.article or main)
         if tag not in INLINE:
             node.path = short_hash(f"{up.path} {tag} {' '.join(sorted(words))}")
             up.children.append(tag)

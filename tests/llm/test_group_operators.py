@@ -313,6 +313,9 @@ def test_lines_use_no_python(spark):
         ("<ul><li>one<li>two</ul><table><tr><td>1<td>2</table>", "one\n\ntwo\n\n1\n\n2"),
         ("<p>1 &lt; 2 &#65;&#x42; &nosuch; 3 < 4</p>", "1 < 2 AB &nosuch; 3 < 4"),
         ("<article>unclosed <i>end", "unclosed end"),
+        ("<div class='page has-sidebar'><p>a</p></div>", "a"),
+        ("<div class='banner wrap'><article><div class='entry-header'><h1>T</h1></div>x</article>y</div>", "T\n\nx"),
+        ("<main><p>x</p><article class='comment'>r</article></main>", "x"),
     ],
 )
 def test_main_text(page, text):
