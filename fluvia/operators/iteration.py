@@ -6,7 +6,6 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from fluvia.operators.checkpoints import cut
 
