@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch between the JVM and Python; both sides hold a batch of each task, and texts can be long.
+BATCH_ROWS = 2000
 #: Rows that one step of a Python operator holds at a time, besides the Arrow batch they come from.
 SLICE_ROWS = 256
 
@@ -30,6 +36,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the shared checkpoint folder: as checkpointed, but compressed and read by column.
+
+    Spark drops the shuffle files of a plan that nothing refers to when the driver collects its garbage, which is asked for here.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, of which no dictionary can be made
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_ROWS at most, unless the session names a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; workers stay, and other tasks need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_slices(df: DataFrame, columns: list[str], schema: str, work: Callable[[dict[str, list]], dict[str, list]], rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow over the given columns alone, some rows at a time, so that memory is bounded by the longest rows.
 
@@ -38,6 +72,7 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, work: Callable[[d
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,6 +81,7 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, work: Callable[[d
                 part = batch.slice(at, rows)
                 got = work({name: part.column(k).to_pylist() for k, name in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in target], schema=target)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import SLICE_ROWS, table
+from fluvia.llm.common import SLICE_ROWS, give_back, small_batches, table
 from fluvia.llm.neighbours import groups_of
 
 WINDOW, END_ID = 4096, 2
-#: Bytes of text of a shard, about; documents are dealt out to shards by a hash. Words whose ids a worker keeps at most.
-SHARD_BYTES, MEMO, LONG_WORD = 4_000_000, 900_000, 64
+#: Bytes of text of a shard, about; documents are dealt out to shards by a hash.
+SHARD_BYTES = 4_000_000
+#: Words, and runs of letters in them, whose ids a worker keeps at most (about 150 bytes each); longer words aren't kept by run.
+MEMO, MEMO_RUNS, LONG_WORD = 60_000, 500_000, 64
 #: Of a seed's words the weightiest so many ask the index; BM25's usual constants.
 ASKED, K1, B = 32, 1.2, 0.75
 #: White space to Python's split, but not to the tokenizer.
@@ -68,7 +70,7 @@ class WordIds:
         return out
 
     def learn(self, words: list[str]) -> None:
-        for held, most in ((self.memo, MEMO), (self.letters, MEMO)):
+        for held, most in ((self.memo, MEMO), (self.letters, MEMO_RUNS)):
             if len(held) + len(words) > most and len(words) < most:
                 held.clear()
         parted, fresh = [], {}
@@ -188,6 +190,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     full but for the last of each shard, which is padded to the next power of two.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col) + 32)).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -200,6 +203,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
                 part = b.slice(at, SLICE_ROWS)
                 ids = [words.encode(t or "") + tail for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["id", "shard", "ids"])
+        give_back()
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, ["shard"]):
@@ -211,6 +215,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
             base = g.column("shard")[0].as_py() << 32
             values = [cols[1], cols[2], crc, [len(ids[d]) for d in cols[0]], [base + s for s in cols[3]], cols[4]]
             yield pa.RecordBatch.from_arrays([own, *(pa.array(v, pa.int64()) for v in values)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        give_back()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))
     ready = rows.mapInArrow(tokenized, f"id {kind}, shard bigint, ids binary").repartition(parts, "shard").sortWithinPartitions("shard", "id")
