@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fluvia.llm.common import checkpointed, connected_components, map_slices, table
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
+#: Variants that a task makes, about.
+TASK_ROWS = 500_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -69,7 +71,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     twos = [1 << i | 1 << j for base in (0, 32) for i in range(base, base + 32) for j in range(i + 1, base + 32)]
     near = checkpointed(_near(fps))
     mask = F.explode(F.when(F.bit_count("fp") % 2 == 0, _flips([0, *ones, *twos])).otherwise(_flips([0, *ones]))).alias("m")
-    parts = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), near.count() * 561 // 2_000_000)
+    parts = near.count() * 561 // TASK_ROWS + 1  # 561 variants each on average
     spread = near.repartition(parts).select("fp", mask)
     variants = spread.select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), (F.bit_count("m") < 2).alias("within")).repartition(parts, "variant")
     hubs = variants.groupBy("variant").agg(F.min(F.when(F.col("within"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1 AND hub IS NOT NULL").select("variant", "hub")
