@@ -283,8 +283,12 @@ def test_lines_of_large_groups(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == 299
 
 
+#: A line of a script without spaces, of 80 different characters.
+WIDE = "".join(chr(0x4E00 + 37 * k) for k in range(80))
+
+
 def test_lines_hard_rows(spark):
-    rows = [(2, "same line here\n\n  same line here  \nx"), (1, "same line here"), (1, "same line here"), (None, "y"), (3, None), (4, ""), (5, "日本語のとても長いテキストです。これは同じ行です" * 2 + "終"), (6, "日本語のとても長いテキストです。これは同じ行です" * 2 + "終！"), (7, "w" * 100_000)]
+    rows = [(2, "same line here\n\n  same line here  \nx"), (1, "same line here"), (1, "same line here"), (None, "y"), (3, None), (4, ""), (5, WIDE), (6, WIDE + "！"), (7, "w" * 100_000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, h string").withColumn("n_lines", F.lit("z"))
     got = collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(df).collect())
     assert got == {(2, "\nx", 4, 2): 1, (1, "same line here", 1, 0): 2, (None, "y", 1, 0): 1, (3, None, 0, 0): 1, (4, "", 1, 0): 1, (5, rows[6][1], 1, 0): 1, (6, "", 1, 1): 1, (7, "w" * 100_000, 1, 0): 1}
