@@ -20,7 +20,7 @@ WINDOW, END_ID = 4096, 2
 #: Bytes of text of a shard, about; documents are dealt out to shards by a hash.
 SHARD_BYTES = 4_000_000
 #: Words, and runs of letters in them, whose ids a worker keeps at most (about 150 bytes each); longer words aren't kept by run.
-MEMO, MEMO_RUNS, LONG_WORD = 60_000, 500_000, 64
+MEMO, MEMO_RUNS, LONG_WORD = 900_000, 900_000, 64
 #: Of a seed's words the weightiest so many ask the index; BM25's usual constants.
 ASKED, K1, B = 32, 1.2, 0.75
 #: White space to Python's split, but not to the tokenizer.
