@@ -296,6 +296,22 @@ def test_lines_hard_rows(spark):
     assert set(lines.dedup_lines(df).columns) == {"doc_id", "text", "h", "n_lines", "n_dropped"}
 
 
+def test_lines_read_every_character(spark):
+    """As brute force over plain shingles of five characters finds them: what lies inside long words counts too."""
+    r = np.random.default_rng(11)
+    spelled = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    texts = [f"See https://example.com/{spelled(60)}" for _ in range(20)] + [f"/usr/share/lib/{spelled(50)}.so" for _ in range(20)]
+    texts += ["漢字" * 3 + "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 900, 20)) + spelled(30) for _ in range(20)]
+    texts += ["😀" + "".join(chr(0x1F600 + int(c)) for c in r.integers(0, 60, 30)) for _ in range(10)] + ["ab", "abc", "abcd", "ab d"]
+    texts += [t[:-1] + "z" for t in texts[:70:2]]
+    sets = [{t[k : k + 5] for k in range(max(1, len(t) - 4))} for t in texts]
+    assert sets == [plain_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {k for k, top in enumerate(united(len(texts), near)) if top != k}
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).where("n_dropped > 0").collect()
+    assert len(want) == 35 and {x["doc_id"] for x in got} == want
+
+
 def test_lines_use_no_python(spark):
     plan = lines.op9_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
