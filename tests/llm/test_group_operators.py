@@ -283,6 +283,25 @@ def test_lines_of_large_groups(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == 299
 
 
+@pytest.mark.parametrize("tile", [1024, 100])
+def test_lines_of_a_template(spark, monkeypatch, tile):
+    """Records of one template share full buckets and aren't alike; each one's near copy is found among them."""
+    monkeypatch.setattr(lines, "TILE", tile, raising=False)
+    r = np.random.default_rng(12)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 5))
+    template, rows = [word() for _ in range(60)], []
+    for _ in range(400):
+        own = list(template)
+        for k in range(0, 60, 6):
+            own[k] = word()
+        rows.append(" ".join(own))
+        own[int(r.integers(0, 60))] = word()
+        rows.append(" ".join(own))
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    dropped = {x["doc_id"] for x in got.where("n_dropped > 0").collect()}
+    assert dropped <= set(range(1, 800, 2)) and len(dropped) >= 399  # bands miss few
+
+
 #: A line of a script without spaces, of 80 different characters.
 WIDE = "".join(chr(0x4E00 + 37 * k) for k in range(80))
 
