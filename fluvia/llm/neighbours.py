@@ -46,16 +46,29 @@ def ranked(v: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argsort((c**2).sum(1)[None] - 2 * v @ c.T, axis=1, kind="stable")
 
 
-def probes(sample: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
-    """Lists to probe so that of the sample's own nearest neighbours at least a share of `recall` lies in them. Among more
-    vectors the nearest are nearer still, so their lists rank no later."""
-    q = sample[: min(256, len(sample))]
+def probes(sample: np.ndarray, c: np.ndarray, k: int, recall: float, seed: int = 4) -> int:
+    """Lists to probe so that of the sample's own nearest neighbours at least a share of `recall` lies in them, and two
+    standard errors more. Among more vectors the nearest are nearer still, so their lists rank no later.
+
+    Asked are 256 of the sample's distinct vectors, drawn at random, about their neighbours among the distinct ones: copies lie
+    in one list and would make the number look small.
+    """
+    sample = np.unique(sample, axis=0)
+    asked = np.random.default_rng(seed).permutation(len(sample))[:256]
+    q = sample[asked]
     d = (sample**2).sum(1)[None] - 2 * q @ sample.T
-    near = np.argsort(d, axis=1)[:, 1 : k + 1]
+    d[np.arange(len(q)), asked] = np.inf
+    near = np.argsort(d, axis=1)[:, : min(k, len(sample) - 1)]
     rank = np.argsort(ranked(q, c), axis=1)  # of each list for each query
     home = ranked(sample, c)[:, 0]
-    at = np.sort(rank[np.arange(len(q))[:, None], home[near]].ravel())
-    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1 if len(at) else len(c)
+    at = rank[np.arange(len(q))[:, None], home[near]]
+    if not at.size:
+        return len(c)
+    for n in range(1, len(c)):
+        share = (at < n).mean(1)  # of each query
+        if share.mean() - 2 * share.std() / np.sqrt(len(q)) >= recall:
+            return n
+    return len(c)
 
 
 def scan(ids: np.ndarray, base: np.ndarray, turned: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +147,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = matrix(pa.chunked_array([b.column(1)])) if b.num_rows else np.zeros((0, dims))
-            near = ranked(v, c)[:, :n_probe].astype(np.int32).tolist() if len(v) else []
+            order = ranked(v, c) if len(v) else np.zeros((0, len(c)), int)
+            # further lists where the probed ones hold fewer than k besides the query itself
+            enough = np.maximum(n_probe, (np.cumsum(filled[order], axis=1) <= k).sum(1) + 1)
+            near = [row[:n].tolist() for row, n in zip(order.astype(np.int32), enough.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], ["id", "v", "lists"])
 
     held = checkpointed(base.mapInArrow(listed, "id bigint, v array<double>, list int"))
     sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # a row a list
+    filled = np.zeros(len(c), np.int64)  # a number a list
+    for r in held.groupBy("list").count().collect():
+        filled[r["list"]] = r["count"]
     in_parts = held.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("part"), F.lit(0).alias("q"), "id", "v")
     asked = queries.mapInArrow(probed, "id bigint, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("q"), "id", "v")

@@ -136,6 +136,22 @@ def test_neighbours(vectors):
     assert hit >= 0.9 * 90
 
 
+def test_probes_are_not_fitted_on_the_copies_of_the_lowest_ids():
+    r = np.random.default_rng(7)
+    v = r.normal(size=(3000, 32))
+    v[:1000] = v[0]
+    c = neighbours.centres(v, 16)
+    assert neighbours.probes(v, c, 10, 0.97) == neighbours.probes(v[r.permutation(3000)], c, 10, 0.97) > 4
+
+
+def test_neighbours_probe_on_until_there_are_k(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "probes", lambda *_: 1)
+    v = np.random.default_rng(8).normal(size=(120, 8))
+    rows = spark.createDataFrame([(k, [float(x) for x in u]) for k, u in enumerate(v)], "id bigint, v array<double>")
+    got = collections.Counter(r["query_id"] for r in neighbours.nearest(rows, rows, lists=40).collect())
+    assert got == {k: 10 for k in range(120)}
+
+
 def test_neighbours_of_few(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "id bigint, v array<double>")
     got = sorted(map(tuple, neighbours.nearest(rows, rows.where("id = 0")).collect()))
