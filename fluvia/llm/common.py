@@ -24,30 +24,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder, without its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a local one is set only where none is named.
-    """
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir. A local session without one gets one of its own;
+    on a cluster a machine-local folder would lose data, so there it has to be named."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder)
+    return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared checkpoint folder: as checkpointed, but compressed and read by column.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the shared checkpoint folder, without its lineage.
 
-    Spark drops the shuffle files of a plan that nothing refers to when the driver collects its garbage, which is asked for here.
+    Unlike checkpoint(), which keeps the size that the optimizer guessed for the plan, a table tells its real size; guesses of loops
+    of joins multiply each round.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, of which no dictionary can be made
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As checkpointed, after a step that shuffles much: Spark drops the shuffle files of a plan that nothing refers to when the
+    driver collects its garbage, which is asked for here, so that steps don't add up on disk."""
+    out = checkpointed(df)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `checkpointed` or `written` that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -89,18 +108,19 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, work: Callable[[d
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that an edge (a, b) names; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps. Every step is a map-side combined minimum and a join back, so a node with
-    very many edges is never gathered in one task, and each round is written to the checkpoint folder.
+    Alternates large-star and small-star steps. A node's smallest neighbour is a map-side combined minimum, written out before it
+    is joined back: both sides of that join are shuffled for it alone, so AQE deals the edges of a node with very many to several
+    tasks. Each round is written to the checkpoint folder.
     Self-loops and repeated edges are allowed; an edge with a null end is ignored. No edges give no rows.
     """
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
-        e = checkpointed(small)
+        near = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        before, e = e, checkpointed(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct())
+        forget(before, near, large, low)
         # settled once every edge leads to a node that leads nowhere: each component is a star around its smallest node
         if e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and e.count() == e.select("u").distinct().count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
