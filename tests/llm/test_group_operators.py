@@ -81,6 +81,34 @@ def test_simhash_rows(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 9]
 
 
+def test_near_duplicates_without_ids(spark):
+    """Different texts stay, whether they share an id or have none."""
+    texts = ["one two three four", "five six seven eight nine", "ten eleven twelve thirteen"]
+    rows = [(None, t) for t in texts[:2]] + [(4, texts[2]), (4, "alpha beta gamma delta"), (4, "alpha beta gamma delta"), (6, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(str, simhash.without_near_duplicates(df).collect()))
+    assert got == sorted(map(str, df.where("doc_id IS NOT NULL").distinct().unionByName(df.where(F.col("text") == texts[1])).collect()))
+
+
+def test_variants_of_many_parts(spark, monkeypatch):
+    """Clustered fingerprints in many parts and small batches give the links of brute force."""
+    monkeypatch.setattr(simhash, "PART_VARIANTS", 2000)
+    r = np.random.default_rng(14)
+    fps = set()
+    for base in r.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64).tolist():
+        for _ in range(40):
+            x = base % (1 << 64)
+            for b in r.choice(64, r.integers(0, 4), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x - (1 << 64) if x >= 1 << 63 else x)
+    fps = sorted(fps)
+    pairs = simhash.close_pairs(spark.createDataFrame([(f,) for f in fps], "fp bigint")).collect()
+    at, u = {f: k for k, f in enumerate(fps)}, np.array(fps, np.int64).view(np.uint64)
+    near = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if np.bitwise_count(u[i] ^ u[j]) <= 3]
+    assert all(np.bitwise_count(u[at[p["a"]]] ^ u[at[p["b"]]]) <= 3 for p in pairs)
+    assert united(len(fps), [(at[p["a"]], at[p["b"]]) for p in pairs]) == united(len(fps), near)
+
+
 # ---- vectors -------------------------------------------------------------------------------------------------------
 
 
