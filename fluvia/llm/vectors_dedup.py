@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvia.llm.common import checkpointed, connected_components, table
@@ -98,7 +98,7 @@ def linked(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     tiles = met.select("id", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("id", "t", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     order = ["key", "i", "j"]
-    rows = tiles.join(reps, "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "id")
+    rows = tiles.join(reps, "id").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * TABLES // 1_000_000), *order).sortWithinPartitions(*order, "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, order):
@@ -122,18 +122,31 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """(id, n_links, component_id, kept) of every row; vectors of cosine `least` or more link, copies too.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without an id, link with nothing. Vectors of
-    different lengths never link. Copies stand as one class; a row that repeats an id counts as a vector of its own.
+    different lengths never link. Copies stand as one class, which is named by the hash of its components, not by an id; so a
+    row that repeats an id counts as a vector of its own, and n_links counts rows.
     """
-    good = checkpointed(valid_vectors(rows, id_col, vec_col))
-    reps = checkpointed(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "v", "n"))
+    good = checkpointed(valid_vectors(rows, id_col, vec_col).withColumn("cls", F.xxhash64("v")))
+    # of different vectors of one hash each has a class: the second to come in order takes the next number, and so on
+    named = good.groupBy("cls", "v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    several = named.groupBy("cls").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cls")
+    if not several.isEmpty():
+        apart = Window.partitionBy("cls").orderBy("v")  # as many rows as vectors share a hash
+        again = named.join(several, "cls").withColumn("k", F.row_number().over(apart) - 1)
+        named = named.join(several, "cls", "left_anti").unionByName(again.select((F.col("cls") + F.col("k")).alias("cls"), "v", "low", "n"))
+    classes = checkpointed(named)
+    reps = classes.select(F.col("cls").alias("id"), "v", "n")
     links, edges = linked(reps, least)
     comps = connected_components(edges)
-    of = reps.join(links, "id", "left").join(comps, reps["id"] == comps["node"], "left").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", reps["id"]).alias("component_id"))
-    inside = good.join(of, "v").select("id", "n_links", "component_id")
+    of = classes.select("cls", "v", "low", "n").join(links, F.col("cls") == F.col("id"), "left").drop("id").join(comps, F.col("cls") == F.col("node"), "left")
+    of = checkpointed(of.select("v", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"))
+    linked_rows, alone = of.where("component IS NOT NULL"), of.where("component IS NULL")
+    lowest = checkpointed(linked_rows.groupBy("component").agg(F.min("low").alias("component_id")))
+    named = checkpointed(linked_rows.join(lowest, "component").select("v", "n_links", "component_id").unionByName(alone.select("v", "n_links", F.col("low").alias("component_id"))))
+    inside = good.join(named, "v").select("id", "n_links", "component_id")
     v = F.col(vec_col).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    alone = rows.where(~F.coalesce(ok, F.lit(False)) | F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
-    return inside.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    left = rows.where(~F.coalesce(ok, F.lit(False)) | F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    return inside.unionByName(left).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

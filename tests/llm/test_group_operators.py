@@ -138,6 +138,18 @@ def test_vector_groups(vectors):
     assert vectors_dedup.vector_groups(df.limit(0)).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    """Each row is a vector of its own: alike under one id, unlike under one id, and copies."""
+    a, alike, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+
+    def got(rows):
+        return sorted(tuple(r) for r in vectors_dedup.vector_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+
+    assert got([(1, a), (1, alike), (2, c)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+    assert got([(1, a), (1, c), (3, alike)]) == [(1, 0, 1, True), (1, 1, 1, True), (3, 1, 1, False)]
+    assert got([(5, a), (4, a), (4, a), (7, alike)]) == [(4, 3, 4, True), (4, 3, 4, True), (5, 3, 4, False), (7, 3, 4, False)]
+
+
 def test_full_buckets_are_compared_in_tiles(vectors, monkeypatch):
     v, df = vectors
     before = {r["vec_id"]: tuple(r) for r in vectors_dedup.vector_groups(df).collect()}
