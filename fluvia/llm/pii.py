@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from fluvia.llm.common import map_slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on each side of a digit or an @ that the network sees; windows of WIDTH overlap by half.
-REACH, WIDTH = 32, 64
+#: Characters that the network reads on each side of what every span has to hold (see TRIGGER).
+REACH = 48
+#: Characters of a window in which the network reads, and by which windows overlap; of a training window.
+WIDTH, OVERLAP, TRAIN_WIDTH = 128, 48, 64
+#: Windows that are read together.
+AT_ONCE = 1024
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -23,7 +27,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+#: What a span can't be without (see sane): a digit of some script, an @ of some form, or a spelled-out address's middle.
+SPELLED = r"\bat\b[\])}]?\x20?[\w-]{1,40}\x20?[\[({]?(?:\.\w|dot\b)"
+TRIGGER = re.compile(r"[0-9@\uff20\uff10-\uff19\u0660-\u0669\u06f0-\u06f9\u0966-\u096f]|" + SPELLED)
 
 
 def luhn(digits: str) -> bool:
@@ -66,12 +72,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the network -------------------------------------------------------------------------------------------------
 
 
+#: Digits of other scripts and full-width forms, as the ASCII characters that they stand for.
+SAME_AS = {0xFF01 + k: 33 + k for k in range(94)} | {0x3000: 32} | {base + k: 48 + k for base in (0x0660, 0x06F0, 0x0966) for k in range(10)}
+
+
 def char_class(text: str) -> np.ndarray:
-    """Indices of characters: 0 pads, printable ASCII by itself, 96 a letter, 97 white space, 98 anything else beyond."""
+    """Indices of characters: 0 pads, printable ASCII by itself, 96 a letter, 97 white space, 98 anything else beyond. Full-width
+    forms and other scripts' digits count as what they stand for."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where((codes >= 32) & (codes < 127), codes.astype(np.int64) - 31, 98)
-    out = np.where((codes == 9) | (codes == 10) | (codes == 13), 97, out)
-    return np.where((codes >= 0xAA) & (codes < 0x2000), 96, out)
+    if not text.isascii() and (np.isin(codes, _OTHER_FORMS)).any():
+        codes = np.frombuffer(text.translate(SAME_AS).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _CLASS[np.minimum(codes, 0x2000)]
+    return out
+
+
+_OTHER_FORMS = np.array(sorted(SAME_AS), np.uint32)
+
+
+def _class_table() -> np.ndarray:
+    codes = np.arange(0x2001)
+    out = np.where((codes >= 32) & (codes < 127), codes - 31, 98)
+    out[[9, 10, 13]] = 97
+    out[0xAA:0x2000] = 96
+    return out
+
+
+_CLASS = _class_table()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,10 +151,41 @@ class Tagger:
                 saved.append((t, i, f, o, u, tc, *before, live))
         return out, saved
 
+    def _read(self, x: np.ndarray, d: str) -> np.ndarray:
+        """As _lstm, in single precision and in place: states of all steps (time x windows x hidden); x is time x windows."""
+        n, (length, b) = self.n, x.shape
+        wx, wh = self.w[d + "x"].astype(np.float32), self.w[d + "h"].astype(np.float32)
+        wx, wh = wx.copy(), wh.copy()
+        wx[:, : 3 * n] *= 0.5  # a sigmoid is half a tanh of half its argument, plus a half
+        wh[:, : 3 * n] *= 0.5
+        h, c, out = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32), np.empty((length, b, n), np.float32)
+        z, g = np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32)
+        live = (x > 0).astype(np.float32)[:, :, None]
+        padded = live.all(axis=(1, 2))
+        for t in range(length) if d == "f" else range(length - 1, -1, -1):
+            np.take(wx, x[t], axis=0, out=z)
+            z += np.matmul(h, wh, out=g)
+            np.tanh(z, out=z)
+            z[:, : 3 * n] *= 0.5
+            z[:, : 3 * n] += 0.5
+            c *= z[:, n : 2 * n]
+            c += z[:, :n] * z[:, 3 * n :]
+            if not padded[t]:
+                c *= live[t]
+            h = np.tanh(c, out=out[t])
+            h *= z[:, 2 * n : 3 * n]
+            if not padded[t]:
+                h *= live[t]
+        return out
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Tag scores of windows (windows x characters) -> windows x characters x tags."""
-        h = np.concatenate([self._lstm(x, "f", False)[0], self._lstm(x, "b", False)[0]], axis=2)
-        return np.swapaxes(h @ self.w["o"], 0, 1) + self.w["c"][x]
+        x = np.ascontiguousarray(x.T)
+        o = self.w["o"].astype(np.float32)
+        got = self._read(x, "f") @ o[: self.n]
+        got += self._read(x, "b") @ o[self.n :]
+        got += self.w["c"].astype(np.float32)[x]
+        return np.swapaxes(got, 0, 1)
 
     def viterbi(self, e: np.ndarray) -> list[int]:
         trans, best, back = self.w["t"] + self.ban, self.w["s"] + self.ban0 + e[0], []
@@ -217,6 +274,9 @@ def labelled(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]
     def good() -> tuple[str, str]:
         kind = r.choice(KINDS)
         name = "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
+        if kind == "email" and r.random() < 0.3:
+            at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", "."), ("(at)", "(dot)"), ("[at]", ".")])
+            return kind, name + r.choice(["", digits(2), dot + "".join(r.choice("abcdefghilmnoprstu") for _ in range(5))]) + at + r.choice(["mail", "post", "corp", "web"]) + digits(r.randint(0, 1)) + dot + r.choice(["com", "org", "net", "de"])
         if kind == "email":
             return kind, name + r.choice([".", "_", "-", "+", ""]) + digits(r.randint(0, 3)) + "@" + r.choice(["mail", "post", "corp", "web"]) + digits(r.randint(0, 1)) + r.choice([".example.com", ".org", ".co.uk", ".de"])
         if kind == "ip":
@@ -230,7 +290,7 @@ def labelled(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]
             lambda: digits(r.randint(1, 4)), lambda: digits(r.randint(5, 12)), lambda: digits(r.randint(20, 40)), lambda: "Version " + digits(1) + "." + digits(1),
             lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2099)}", lambda: f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(0, 23)}:{digits(2)}:{digits(2)}",
             lambda: "token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + "\"", lambda: "$" + digits(2) + "." + digits(2), lambda: word() + digits(2), lambda: "@" + word(), lambda: digits(2) + "%",
-            lambda: "CC BY-NC " + digits(1) + ".0.", lambda: "v" + digits(1) + "." + digits(1) + "." + digits(1), lambda: digits(1) + "," + digits(3) + "," + digits(3), lambda: "+" + digits(r.randint(1, 3)), lambda: "www." + word() + digits(1) + ".com/" + digits(3),
+            lambda: "CC BY-NC " + digits(1) + ".0.", lambda: "v" + digits(1) + "." + digits(1) + "." + digits(1), lambda: digits(1) + "," + digits(3) + "," + digits(3), lambda: "+" + digits(r.randint(1, 3)), lambda: word() + " at " + word() + " dot " + word(), lambda: "at " + word() + "." + word(), lambda: word() + " (at) " + word(), lambda: "www." + word() + digits(1) + ".com/" + digits(3),
         ])()
 
     out = []
@@ -250,11 +310,11 @@ def labelled(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]
 
 
 def windows(length: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover a stretch."""
-    if length <= WIDTH:
+    """Overlapping windows that cover a training text."""
+    if length <= TRAIN_WIDTH:
         return [(0, length)]
-    starts = [*range(0, length - WIDTH, WIDTH // 2), length - WIDTH]
-    return [(s, s + WIDTH) for s in starts]
+    starts = [*range(0, length - TRAIN_WIDTH, TRAIN_WIDTH // 2), length - TRAIN_WIDTH]
+    return [(s, s + TRAIN_WIDTH) for s in starts]
 
 
 def training_set(texts: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,11 +325,11 @@ def training_set(texts: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[n
             k = KINDS.index(kind)
             y[s], y[s + 1 : e] = 1 + 2 * k, 2 + 2 * k
         for s, e in windows(len(text)):
-            xs.append(np.pad(x[s:e], (0, WIDTH - (e - s))))
+            xs.append(np.pad(x[s:e], (0, TRAIN_WIDTH - (e - s))))
             part = y[s:e].copy()
             if part[0] and part[0] % 2 == 0:  # a window may start inside a span
                 part[0] -= 1
-            ys.append(np.pad(part, (0, WIDTH - (e - s))))
+            ys.append(np.pad(part, (0, TRAIN_WIDTH - (e - s))))
     return np.array(xs), np.array(ys)
 
 
@@ -281,59 +341,76 @@ def trained(examples: int = 1500, rounds: int = 320, seed: int = 11) -> Tagger:
     return net
 
 
+ADDRESS = re.compile(r".@.*(?:\.|\bdot\b).|.\W" + SPELLED, re.S)
+
+
+def sane(kind: str, s: str) -> bool:
+    """Whether a span of the network can be of its kind at all, full-width forms and other scripts' digits taken as ASCII."""
+    s = s.translate(SAME_AS)
+    digits = re.sub("[^0-9]", "", s)
+    if kind == "email":
+        return bool(ADDRESS.search(s))
+    if kind == "ip":
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around every digit and @: each kind needs one of them, so outside them every tag is O by definition."""
+    """Stretches around everything that a span can't be without: no span lies outside of them."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and s <= out[-1][1]:
-            out[-1][1] = e
+            out[-1][1] = max(e, out[-1][1])
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
 
 
-def plausible(kind: str, s: str) -> bool:
-    """What a span of the network has to hold to be reported: the least that makes one of the kind."""
-    digits = sum(c in "0123456789" for c in s)
-    if kind == "email":
-        return "@" in s[1:-1] and "." in s[s.index("@") :]
-    if kind == "ip":
-        return s.count(".") == 3 and all(x.isdigit() and int(x) < 256 for x in s.split(".") if len(x) < 9) and digits <= 12
-    if kind == "card":
-        return 13 <= digits <= 19 and not re.search("[^0-9 .-]", s) and luhn(re.sub("[^0-9]", "", s))
-    return 9 <= digits <= 15 and not re.search("[^0-9 ().+-]", s) and len(re.findall("[0-9]+", s)) >= 3
+def window_scores(net: Tagger, texts: list[str]) -> list[np.ndarray]:
+    """Tag scores of every character of every text. Windows overlap, and a character's scores are those of the window in which it
+    stands farther from the edge."""
+    step, half = WIDTH - OVERLAP, OVERLAP // 2
+    codes = [char_class(t).astype(np.uint8) for t in texts]
+    count = [max(1, -(-(len(c) - OVERLAP) // step)) for c in codes]
+    first = np.cumsum([0, *count])
+    x = np.zeros((first[-1], WIDTH), np.uint8)
+    for k, c in enumerate(codes):
+        whole = np.zeros(count[k] * step + OVERLAP, np.uint8)
+        whole[: len(c)] = c
+        x[first[k] : first[k + 1]] = np.lib.stride_tricks.sliding_window_view(whole, WIDTH)[::step]
+    got = np.empty((first[-1], WIDTH, TAGS), np.float32)
+    for at in range(0, len(x), AT_ONCE):
+        got[at : at + AT_ONCE] = net.scores(x[at : at + AT_ONCE])
+    out = []
+    for k, c in enumerate(codes):
+        own, n = got[first[k] : first[k + 1]], len(c)
+        if count[k] == 1:
+            out.append(own[0, :n])
+        else:
+            parts = [own[0, : WIDTH - half], *own[1:-1, half : WIDTH - half], own[-1, half:]]
+            out.append(np.concatenate(parts)[:n])
+    return out
 
 
 def model_spans(net: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans by the network alone: scores of overlapping windows are blended, each character's weighted to the window's
-    middle, and one best path is taken over each whole stretch."""
-    where, xs = [], []
-    for k, text in enumerate(texts):
-        for s, e in regions(text):
-            x = char_class(text[s:e])
-            for a, b in windows(e - s):
-                where.append((k, s, e, a, b))
-                xs.append(np.pad(x[a:b], (0, WIDTH - (b - a))))
+    """Spans by the network alone. It reads every stretch that can hold one, in overlapping windows whose scores are reconciled
+    into one sequence, over which one best path is taken."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    weight = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1))[:, None].astype(float)
-    blended: dict[tuple[int, int, int], list[np.ndarray]] = {}
-    for at in range(0, len(xs), 512):
-        got = net.scores(np.array(xs[at : at + 512]))
-        for (k, s, e, a, b), g in zip(where[at : at + 512], got, strict=True):
-            total = blended.setdefault((k, s, e), [np.zeros((e - s, TAGS)), np.zeros((e - s, 1))])
-            w = weight[: b - a]
-            total[0][a:b] += g[: b - a] * w
-            total[1][a:b] += w
-    for (k, s, _), (total, w) in blended.items():
-        path, open_ = [*net.viterbi(total / w), 0], None
+    where = [(k, s, e) for k, text in enumerate(texts) for s, e in regions(text)]
+    if not where:
+        return out
+    for (k, s, e), scored in zip(where, window_scores(net, [texts[k][s:e] for k, s, e in where]), strict=True):
+        path, open_ = [*net.viterbi(scored), 0], None
         for t, tag in enumerate(path):
             if open_ and (tag % 2 == 1 or tag == 0):
                 kind, start = open_
-                span = texts[k][s + start : s + t]
-                cut = len(span) - len(span.rstrip())
-                if plausible(kind, span.rstrip()):
-                    out[k].append((kind, s + start, s + t - cut))
+                span = texts[k][s + start : s + t].rstrip()
+                if sane(kind, span):
+                    out[k].append((kind, s + start, s + start + len(span)))
                 open_ = None
             if tag % 2 == 1:
                 open_ = KINDS[tag // 2], t
@@ -343,13 +420,12 @@ def model_spans(net: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]
 def all_spans(net: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """For each text its base spans, and those with the network's that touch none of them."""
     base, out = [base_spans(t) for t in texts], []
-    hot = [k for k, t in enumerate(texts) if TRIGGER.search(t)]
-    more = dict(zip(hot, model_spans(net, [texts[k] for k in hot]), strict=True))
+    more = model_spans(net, texts)
     for k, own in enumerate(base):
         taken = np.array(sorted((s, e) for _, s, e in own), np.int64).reshape(-1, 2)
         far = np.maximum.accumulate(taken[:, 1])  # the farthest end so far
         added = []
-        for kind, s, e in more.get(k, ()):
+        for kind, s, e in more[k]:
             at = np.searchsorted(taken[:, 0], e)
             if not at or far[at - 1] <= s:
                 added.append((kind, s, e))

@@ -52,6 +52,42 @@ def test_network_leaves_clean_text_alone():
     assert pii.model_spans(pii.trained(), clean) == [[], [], [], []]
 
 
+@pytest.mark.parametrize("text", ["10.0.²2.1", "a@", "@", "²²²²²²²²²²²²² ٤", "+", "x" * 500, "1" * 500, "at at.at dot"])
+def test_network_takes_odd_texts(text):
+    assert pii.all_spans(pii.trained(), [text])[0][0] == plain_spans(text)
+
+
+def test_network_finds_forms_beyond_the_patterns():
+    """Held-out texts in full-width digits and signs, which no pattern matches, and spelled-out addresses."""
+    net, cases = pii.trained(), pii.labelled(300, 77)
+    wide = [t.translate({c: c + 0xFEE0 for c in [*range(48, 58), 64]}) for t, _ in cases]
+    assert not any(map(pii.base_spans, wide))
+    found = pii.model_spans(net, wide)
+    hit = sum(len(set(f) & set(s)) for f, (_, s) in zip(found, cases, strict=True))
+    assert hit > 0.85 * sum(len(s) for _, s in cases) and hit > 0.9 * sum(map(len, found))
+    plain = pii.model_spans(net, [t for t, _ in cases])
+    spelled = [(f, {x for x in s if "at" in t[x[1] : x[2]] and "@" not in t[x[1] : x[2]]}) for f, (t, s) in zip(plain, cases, strict=True)]
+    assert sum(len(set(f) & s) for f, s in spelled) > 0.7 * sum(len(s) for _, s in spelled) > 20
+
+
+def test_best_path_and_scores_equal_plain_ones():
+    import itertools
+
+    import numpy as np
+
+    net = pii.trained()
+    e = np.random.default_rng(1).normal(size=(4, pii.TAGS)) * 3
+
+    def total(path):
+        t = net.w["t"] + net.ban
+        return net.w["s"][path[0]] + net.ban0[path[0]] + sum(e[k, p] for k, p in enumerate(path)) + sum(t[p, q] for p, q in zip(path[:-1], path[1:], strict=True))
+
+    assert tuple(net.viterbi(e)) == max(itertools.product(range(pii.TAGS), repeat=4), key=total)
+    x = pii.char_class("mail bob.17@mail3.example.com now")[None]
+    h = np.concatenate([net._lstm(x, "f", False)[0], net._lstm(x, "b", False)[0]], axis=2)
+    assert np.abs(np.swapaxes(h @ net.w["o"], 0, 1) + net.w["c"][x] - net.scores(x)).max() < 1e-3
+
+
 def test_long_stretches_are_decoded_over_windows():
     text = "1 2 a 3 " * 400 + "mail bob.17@mail3.example.com now " + "4 b 5 " * 400
     base, spans = pii.all_spans(pii.trained(), [text])[0]
