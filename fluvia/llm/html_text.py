@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,66 +36,97 @@ PARTS = frozenset(
 OTHERS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion related recommended comment comments disqus respond reply replies".split())
 TELLING = frozenset("has have no with without".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
     """An element: hard and soft tell that its tag or its class says that it isn't content; an article within what is only
-    soft is content again."""
+    soft is content again. up is the next element around it that isn't inline, so a block needs no list of what is around it."""
 
-    __slots__ = ("tag", "path", "hard", "soft", "article", "children")
+    __slots__ = ("tag", "path", "hard", "soft", "article", "children", "up", "low")
 
-    def __init__(self, tag: str, path: int, hard: bool, soft: bool, article: bool):
-        self.tag, self.path, self.hard, self.soft, self.article, self.children = tag, path, hard, soft, article, []
+    def __init__(self, tag: str, path: int, hard: bool, soft: bool, article: bool, up: "Node | None" = None):
+        self.tag, self.path, self.hard, self.soft, self.article, self.children, self.up, self.low = tag, path, hard, soft, article, [], up, False
 
 
 def short_hash(s: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(s.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
-def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list[Node]]:
-    """Blocks in page order as (text, dropped by its element's meaning, within an article, paths of the elements around it),
-    and all elements. A path names an element by its own and its ancestors' tags and classes."""
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text, tag, attributes, kind) from a page's start to its end: kind 0 is text, 1 a start tag, 2 an end tag. Comments and
+    declarations are left out, and what stands in elements whose content is no text. Work is in proportion to the page: a tag
+    that doesn't end is text, and after a quote that doesn't close no quotes are looked for any more."""
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = end
+        if lt > at:
+            yield page[at:lt], "", "", 0
+        if lt == end:
+            return
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            at = end if close < 0 else close + 3
+            continue
+        m = NAME.match(page, lt + 1)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?"):
+            yield "<", "", "", 0
+            at = lt + 1
+            continue
+        done = ATTRIBUTES.match(page, m.end()) if m and quotes else None
+        if done:
+            at = done.end()
+        else:
+            quotes = quotes and not m
+            close = page.find(">", lt)
+            if close < 0:
+                yield page[lt:], "", "", 0
+                return
+            at = close + 1
+        if not m:
+            continue
+        tag = m[2].lower()
+        if not m[1] and tag in RAW:
+            last = re.compile(f"</{re.escape(tag)}(?![a-z0-9])", re.I).search(page, at)
+            close = page.find(">", last.end()) if last else -1
+            at = end if close < 0 else close + 1
+            continue
+        yield "", tag, page[m.end() : at - 1], 2 if m[1] else 1
+
+
+def walk(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
+    """Blocks in page order as (text, the element that holds it), and all elements. A path names an element by its own and its
+    ancestors' tags and classes."""
     root = Node("#", 0, False, False, False)
     stack, nodes, blocks, piece = [root], [], [], []
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
         if piece:
             text = " ".join("".join(piece).split())
             piece.clear()
             if text:
-                top = stack[-1]
-                blocks.append((text, top.hard or top.soft, top.article, tuple(n.path for n in stack[1:])))
+                blocks.append((text, stack[-1]))
 
     def close(k: int) -> None:
         if any(n.tag not in INLINE for n in stack[k:]):
             flush()
+        for n in stack[k:]:
+            open_[n.tag] -= 1
         del stack[k:]
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            piece.append(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            piece.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    for text, tag, attrs, kind in tokens(page):
+        if kind == 0:
+            piece.append(html.unescape(text))
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-            continue
-        if tag in RAW:
-            done = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = done.end() if done else end
+        if kind == 2:
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "br":
             piece.append(" ")
@@ -104,24 +137,25 @@ def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list
             continue
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    close(k)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[k].tag in SCOPE:
+        ends = CLOSES.get(tag, ())
+        k = len(stack) - 1
+        while k > 0 and any(open_[x] for x in ends):
+            if stack[k].tag in ends:
+                close(k)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
+            elif stack[k].tag in SCOPE:
+                break
+            k -= 1
         up = stack[-1]
-        attrs = m[3]
-        names = [v.strip("\"'") for _, v in NAMED.findall(attrs)] if attrs and "=" in attrs else []
+        names = [v.strip("\"'") for _, v in NAMED.findall(attrs)] if "=" in attrs else []
         words = {w.lower() for v in names for w in WORD.findall(v)}
         main = tag in ("article", "main")
         hard = up.hard or (tag in NO_CONTENT and not (tag == "header" and up.article))
@@ -130,42 +164,46 @@ def walk(page: str) -> tuple[list[tuple[str, bool, bool, tuple[int, ...]]], list
         else:
             named = words & PARTS - {"header"} if up.article else words & PARTS
             soft = up.soft or (tag not in ("html", "body") and bool(named) and not words & TELLING)
-        node = Node(tag, up.path, hard, soft, up.article or main)
+        node = Node(tag, up.path, hard, soft, up.article or main, up.up if up.tag in INLINE else up)
         if tag not in INLINE:
             node.path = short_hash(f"{up.path} {tag} {' '.join(sorted(words))}")
             up.children.append(tag)
             nodes.append(node)
         stack.append(node)
-        if m[3].endswith("/") and tag not in ("html", "body", "article", "main", "p", "div"):
+        open_[tag] += 1
+        if attrs.endswith("/") and tag not in ("html", "body", "article", "main", "p", "div"):
             close(len(stack) - 1)
     flush()
     return blocks, nodes
 
 
 def tree_rows(page: str) -> list[tuple[int, bool, int]]:
-    """What a page adds to its host's tree: (path, is style, hash of the children's tags or of a text below), each once."""
+    """What a page adds to its host's tree: (path, is style, hash of the children's tags or of a text directly in it), each once.
+
+    All elements stand in it, those of articles too. A path holds the ancestors', so an element's texts need not be counted at
+    each of them.
+    """
     blocks, nodes = walk(page)
     styles: dict[int, list[str]] = {}
-    inside = set()
     for n in nodes:
-        if n.article:
-            inside.add(n.path)  # an article is what is looked for: its branches are kept
-        else:
-            styles.setdefault(n.path, []).append(" ".join(n.children))
+        styles.setdefault(n.path, []).append(" ".join(n.children))
     rows = {(p, True, short_hash("|".join(s))) for p, s in styles.items()}
-    for text, _, _, paths in blocks:
-        h = short_hash(text)
-        rows.update((p, False, h) for p in paths if p not in inside)
+    rows.update((n.path, False, short_hash(text)) for text, n in blocks)
     return sorted(rows)
 
 
 def main_text(page: str, removed: set[int]) -> str:
-    """The blocks that are neither dropped nor under a removed path; those in articles alone where a page has any."""
-    blocks, _ = walk(page)
-    kept = [b for b in blocks if not b[1]]
-    rest = [b for b in kept if b[2] or not removed.intersection(b[3])] or kept
-    chosen = [b for b in rest if b[2]] or rest
-    return "\n\n".join(b[0] for b in chosen)
+    """The blocks that are neither dropped for their element's meaning nor under a removed path; of those that are left the ones in
+    articles where there are any. If the tree would leave nothing, its say doesn't count."""
+    blocks, nodes = walk(page)
+    for n in nodes:  # those around a node come before it
+        n.low = n.path in removed or bool(n.up and n.up.low)
+    kept = [(text, n) for text, n in blocks if not (n.hard or n.soft)]
+    rest = kept
+    if removed:
+        rest = [(text, n) for text, n in kept if not (n.up if n.tag in INLINE else n).low] or kept
+    chosen = [text for text, n in rest if n.article] or [text for text, _ in rest]
+    return "\n\n".join(chosen)
 
 
 def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:

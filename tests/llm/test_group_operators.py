@@ -454,6 +454,36 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_tree_decides_in_articles_and_without(spark):
+    """Branches that a host repeats go by their importance alone, be they in an article or not; their names mean nothing here.
+    The importance is recomputed by hand."""
+    import math
+
+    def page(k, inside):
+        own = f"<div class='alpha'><p>Same greeting</p></div><div class='beta'><p>Words {k} and {k * 13}</p><p>More {k * 7}</p></div><div class='gamma'><b>{'Same end' if k % 4 else 'Other end'}</b></div>"
+        return f"<html><body><{inside}>{own}</{inside}></body></html>"
+
+    for inside in ("article", "section"):
+        rows = [(k, f"https://{inside}.example/{k}", page(k, inside)) for k in range(16)]
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+        # z1: one text on 16 pages; z3: one on 12 and one on 4, both of one presentation
+        said = {"z1": 1 - math.log(16) / math.log(16), "z2": 1, "z3": 1 - (math.log(12) + math.log(4)) / 2 / math.log(16)}
+        low = {k for k, v in said.items() if html_text.CONTENT * v < html_text.LOW}
+        assert low == {"z1"}
+        assert got == {k: f"Words {k} and {k * 13}\n\nMore {k * 7}\n\n" + ("Same end" if k % 4 else "Other end") for k in range(16)}
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>x" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, '<a ">"' * 150_000 + "'", "</script " * 100_000, "<script></script " * 50_000, "<b>" * 50_000 + "<tr>" * 50_000, "<!-- " * 200_000, "<li><i>" * 50_000 + "x"])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.tree_rows(page)
+    html_text.main_text(page, {1})
+    assert time.process_time() - began < 20
+
+
 def test_articles_of_table(spark):
     """The table's pages hold one article each; a plain reading of it is the main text."""
     import html
