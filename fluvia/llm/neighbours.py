@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvia.llm.common import checkpointed, table
@@ -17,6 +18,8 @@ SAMPLE = 8192
 PART = 4096
 #: Dimensions of a column block, and the number of standard errors that the test for abandoning allows.
 BLOCK, EPSILON = 16, 2.6
+#: Candidates between two updates of a scan's bound.
+STEP = 512
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -71,27 +74,30 @@ def probes(sample: np.ndarray, c: np.ndarray, k: int, recall: float, seed: int =
     return len(c)
 
 
-def scan(ids: np.ndarray, base: np.ndarray, turned: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a part to one query. The first candidates give a bound; of the others, those whose distance in the
-    first blocks of rotated dimensions is too large for the bound, by a test on its scaled value, are abandoned."""
-    dims, live = base.shape[1], ids != own
-    first = np.flatnonzero(live)[: 8 * k]
-    d = ((base[first] - query) ** 2).sum(1)
-    rest = np.flatnonzero(live)[8 * k :]
-    if len(rest) and len(first) >= k:
+def scan(keys: np.ndarray, ids: np.ndarray, base: np.ndarray, turned: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest of a part to one query, but for the row whose key is its own.
+
+    The nearest so far give a bound, which tightens after each STEP candidates; of the next, those whose distance in the first
+    blocks of rotated dimensions is too large for the bound, by a test on its scaled value, are abandoned.
+    """
+    dims, live = base.shape[1], np.flatnonzero(keys != own)
+    best, d = live[: 8 * k], ((base[live[: 8 * k]] - query) ** 2).sum(1)
+    for s in range(8 * k, len(live), STEP):
+        rest, partial = live[s : s + STEP], 0.0
         bound = np.partition(d, k - 1)[k - 1]
-        partial = np.zeros(len(rest))
         for at in range(0, dims, BLOCK):
             cols = slice(at, min(dims, at + BLOCK))
-            partial += ((turned[rest, cols] - q_turned[cols]) ** 2).sum(1)
+            partial = partial + ((turned[rest, cols] - q_turned[cols]) ** 2).sum(1)
             seen = cols.stop
             if seen < dims:
                 keep = partial * (dims / seen) <= bound * (1 + EPSILON / np.sqrt(seen)) ** 2 * (1 + 1e-9)
                 rest, partial = rest[keep], partial[keep]
-        d = np.concatenate([d, ((base[rest] - query) ** 2).sum(1)])
-        first = np.concatenate([first, rest])
-    best = np.lexsort((ids[first], d))[:k]
-    return ids[first[best]], np.sqrt(d[best])
+        if len(rest):
+            best, d = np.concatenate([best, rest]), np.concatenate([d, ((base[rest] - query) ** 2).sum(1)])
+            top = np.lexsort((ids[best], d))[:k]
+            best, d = best[top], d[top]
+    top = np.lexsort((ids[best], d))[:k]
+    return best[top], np.sqrt(d[top])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -120,75 +126,89 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(float)
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, lists: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of base found for each query, itself (by id) excepted.
+def nearest(base: DataFrame, asks: Column, k: int = 10, recall: float = 0.97, lists: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of base found for each of its rows that meet asks, that row excepted.
 
-    base and queries hold id and v (see valid_vectors), all of one length; ids are unique. Nearest by Euclidean distance in
-    double precision, ties to the smaller id. An empty side gives no rows.
+    base holds id and v (see valid_vectors). Nearest by Euclidean distance in double precision, ties to the smaller id. Every row
+    is a vector of its own: rows that repeat an id find each other, and each of them that asks gets ranks of its own. Vectors of
+    different lengths have no distance, so each length is searched apart. Without rows, or rows that ask, there are no results.
     """
     spark = base.sparkSession
-    out_schema = "query_id bigint, rank int, vec_id bigint, score double"
-    base = checkpointed(base)
+    base = checkpointed(base.select("id", "v", F.coalesce(asks, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row")))
+    lengths = sorted(r[0] for r in base.select(F.size("v")).distinct().collect())
+    if not lengths:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    found = [_nearest(base.where(F.size("v") == n) if len(lengths) > 1 else base, k, recall, lists) for n in lengths]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(base: DataFrame, k: int, recall: float, lists: int | None) -> DataFrame:
+    spark = base.sparkSession
     total = base.count()
-    got = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not got:
-        return spark.createDataFrame([], out_schema)
-    sample = np.array([r["v"] for r in sorted(got, key=lambda r: r["id"])])
+    got = base.select("row", "id", "v").orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE).collect()
+    sample = np.array([r["v"] for r in sorted(got, key=lambda r: (r["id"], r["row"]))])
     dims = sample.shape[1]
     count = min(len(sample), lists or max(1, int(2 ** np.round(np.log2(max(1.0, np.sqrt(total) / 4))))))
     c = centres(sample, count)
     n_probe, turn = probes(sample, c, k, recall), rotation(dims)
 
+    def vectors(b: pa.RecordBatch) -> np.ndarray:
+        return matrix(pa.chunked_array([b.column("v")])) if b.num_rows else np.zeros((0, dims))
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(pa.chunked_array([b.column(1)])) if b.num_rows else np.zeros((0, dims))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranked(v, c)[:, 0] if len(v) else [], pa.int32())], ["id", "v", "list"])
+            own = pa.array(ranked(v, c)[:, 0] if len(v := vectors(b)) else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row", "id", "v", "asks")), own], ["row", "id", "v", "asks", "list"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(pa.chunked_array([b.column(1)])) if b.num_rows else np.zeros((0, dims))
-            order = ranked(v, c) if len(v) else np.zeros((0, len(c)), int)
+            order = ranked(v, c) if len(v := vectors(b)) else np.zeros((0, len(c)), int)
             # further lists where the probed ones hold fewer than k besides the query itself
             enough = np.maximum(n_probe, (np.cumsum(filled[order], axis=1) <= k).sum(1) + 1)
-            near = [row[:n].tolist() for row, n in zip(order.astype(np.int32), enough.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], ["id", "v", "lists"])
+            near = [r[:n].tolist() for r, n in zip(order.astype(np.int32), enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row", "id", "v")), pa.array(near, pa.list_(pa.int32()))], ["row", "id", "v", "lists"])
 
-    held = checkpointed(base.mapInArrow(listed, "id bigint, v array<double>, list int"))
+    held = checkpointed(base.mapInArrow(listed, "row bigint, id bigint, v array<double>, asks boolean, list int"))
     sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # a row a list
     filled = np.zeros(len(c), np.int64)  # a number a list
     for r in held.groupBy("list").count().collect():
         filled[r["list"]] = r["count"]
-    in_parts = held.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int").alias("part"), F.lit(0).alias("q"), "id", "v")
-    asked = queries.mapInArrow(probed, "id bigint, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("q"), "id", "v")
-    # queries of a part are dealt out in blocks too, so that none gathers too many
-    blocks = max(1, -(-total // 100 // 50_000))
-    in_parts = in_parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    order = ["list", "part", "block"]
+    in_parts = held.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("row"), F.col("parts").cast("long")).cast("int").alias("part"), F.lit(0).alias("q"), "row", "id", "v")
+    asked = held.where("asks").select("row", "id", "v").mapInArrow(probed, "row bigint, id bigint, v array<double>, lists array<int>").select("row", "id", "v", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("q"), "row", "id", "v")
+    order = ["list", "part"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, order):
-            is_q = g.column("q").to_numpy() == 1
-            ids, v = g.column("id").to_numpy(), matrix(g.column("v"))
-            b_ids, b = ids[~is_q], v[~is_q]
-            if not len(b) or not is_q.any():
-                continue
-            turned, q, rows = b @ turn, v[is_q], []
-            for own, x, xt in zip(ids[is_q].tolist(), q, q @ turn, strict=True):
-                near, d = scan(b_ids, b, turned, x, xt, own, k)
-                rows.append((np.full(len(near), own), near, d))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
+        """A part's vectors come before the queries that ask it; those are answered as they come, so they need not be held."""
+        part, parts, held_part = None, [], None
+        for batch in batches:
+            for g in groups_of(iter([batch]), [*order, "q"]):
+                now, g = (g.column("list")[0].as_py(), g.column("part")[0].as_py()), g.combine_chunks()
+                if now != part:
+                    part, parts, held_part = now, [], None
+                if g.column("q")[0].as_py() == 0:
+                    parts.append((g.column("row").to_numpy(), g.column("id").to_numpy(), matrix(g.column("v"))))
+                    continue
+                if not parts:
+                    continue
+                if held_part is None:
+                    held_part = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    held_part.append(held_part[2] @ turn)
+                keys, ids, b, turned = held_part
+                rows, q = [], matrix(g.column("v"))
+                for own, own_id, x, xt in zip(g.column("row").to_pylist(), g.column("id").to_pylist(), q, q @ turn, strict=True):
+                    near, d = scan(keys, ids, b, turned, x, xt, own, k)
+                    rows.append((np.full(len(near), own), np.full(len(near), own_id), ids[near], keys[near], d))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["row", "query_id", "vec_id", "other", "score"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = in_parts.unionByName(asked).repartition(max(parts, total * n_probe // count // 100_000), *order).sortWithinPartitions(*order, "q", "id")
-    hits = joined.mapInArrow(found, "query_id bigint, vec_id bigint, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)  # k hits for each probed part at most
-    return hits.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    joined = in_parts.unionByName(asked).repartition(max(parts, total // 20_000), *order).sortWithinPartitions(*order, "q", "id")
+    hits = joined.mapInArrow(found, "row bigint, query_id bigint, vec_id bigint, other bigint, score double")
+    # a bounded rank: what a task can rule out doesn't leave it
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id", "other"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all embeddings for each row whose vec_id is divisible by 100."""
-    rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return nearest(rows, rows.where("id % 100 = 0"))
+    return nearest(valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), F.col("id") % 100 == 0)

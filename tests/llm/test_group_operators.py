@@ -161,7 +161,7 @@ def test_neighbours(vectors):
     v, df = vectors
     rows = neighbours.valid_vectors(df.where("vec_id < 900"), "vec_id", "embedding")
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(rows, rows.where("id % 100 = 0"), lists=8).collect():
+    for r in neighbours.nearest(rows, F.col("id") % 100 == 0, lists=8).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 900, 100))
     hit = 0
@@ -188,20 +188,29 @@ def test_neighbours_probe_on_until_there_are_k(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "probes", lambda *_: 1)
     v = np.random.default_rng(8).normal(size=(120, 8))
     rows = spark.createDataFrame([(k, [float(x) for x in u]) for k, u in enumerate(v)], "id bigint, v array<double>")
-    got = collections.Counter(r["query_id"] for r in neighbours.nearest(rows, rows, lists=40).collect())
+    got = collections.Counter(r["query_id"] for r in neighbours.nearest(rows, F.lit(True), lists=40).collect())
     assert got == {k: 10 for k in range(120)}
 
 
 def test_neighbours_of_few(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "id bigint, v array<double>")
-    got = sorted(map(tuple, neighbours.nearest(rows, rows.where("id = 0")).collect()))
+    got = sorted(map(tuple, neighbours.nearest(rows, F.col("id") == 0).collect()))
     assert [g[:3] for g in got] == [(0, 1, 2), (0, 2, 1)] and got[0][3] == 0
-    assert neighbours.nearest(rows.limit(0), rows).count() == 0 and neighbours.nearest(rows, rows.limit(0)).count() == 0
+    assert neighbours.nearest(rows.limit(0), F.lit(True)).count() == 0 and neighbours.nearest(rows, F.lit(False)).count() == 0
 
 
-def test_neighbour_recall_on_table(spark):
-    out = neighbours.op6_neighbours(spark, FOLDER).collect()
-    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+def test_neighbours_of_lengths_and_repeated_ids(spark):
+    """Vectors meet those of their length; each row that repeats an id asks for itself and is found by the others."""
+    rows = spark.createDataFrame([(100, [0.0, 0.0, 1.0]), (100, [0.0, 1.0, 0.0]), (3, [0.0, 0.5, 0.0]), (100, [1.0, 1.0]), (5, [4.0, 5.0]), (200, [7.0])], "id bigint, v array<double>")
+    got = sorted(map(tuple, neighbours.nearest(rows, F.col("id") % 100 == 0).collect()))
+    assert got == sorted([(100, 1, 3, 0.5), (100, 2, 100, 2**0.5), (100, 1, 3, 1.25**0.5), (100, 2, 100, 2**0.5), (100, 1, 5, 5.0)])
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_neighbour_recall_on_table(spark, scale):
+    folder = FOLDER.replace("0.01", scale)
+    out = neighbours.op6_neighbours(spark, folder).collect()
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     want = set()
     for q in np.flatnonzero(ids % 100 == 0):
