@@ -21,8 +21,10 @@ WINDOW, END_ID = 4096, 2
 SHARD_BYTES = 4_000_000
 #: Words, and runs of letters in them, whose ids a worker keeps at most (about 150 bytes each); longer words aren't kept by run.
 MEMO, MEMO_RUNS, LONG_WORD = 900_000, 900_000, 64
-#: Of a seed's words the weightiest so many ask the index; BM25's usual constants.
-ASKED, K1, B = 32, 1.2, 0.75
+#: BM25's usual constants.
+K1, B = 1.2, 0.75
+#: Words that stand in more than one of so many documents of a shard have a row of weights for all of its documents.
+FREQUENT = 8
 #: White space to Python's split, but not to the tokenizer.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Marks that the tokenizer parts from letters before them.
@@ -111,7 +113,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     """(document, start, length, sequence, offset) of all pieces of a shard; documents are arrays of ids that end in END_ID.
 
     The longest unused document is the next seed. A window that it doesn't fill is filled with the unused documents that
-    BM25 ranks best for the seed's weightiest words, then with the longest unused. What is cut off at a window's end opens
+    BM25 ranks best for all of the seed's words, then with the longest unused. What is cut off at a window's end opens
     the next window, as its seed. Only the last sequence can stay short. Equal scores go by the order of documents.
     """
     n = len(docs)
@@ -129,18 +131,21 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     p_doc, p_weight = doc[order], weight[order]
     ends = np.cumsum(df)
     begins = ends - df
+    often = np.flatnonzero(df * FREQUENT > n)
+    row = np.full(1 << 16, -1)
+    row[often] = np.arange(len(often))
+    rows = np.zeros((len(often), n), np.float32)  # at most FREQUENT numbers for each posting
+    rows[row[term[row[term] >= 0]], doc[row[term] >= 0]] = weight[row[term] >= 0]
 
     def neighbours(seed: int) -> np.ndarray:
-        s = slice(by_doc[seed], by_doc[seed + 1])
-        words, w = term[s], weight[s]
-        shared = df[words] > 1
-        words, w = words[shared], w[shared]
-        words = words[np.lexsort((words, -w))[:ASKED]]
+        words = term[by_doc[seed] : by_doc[seed + 1]]
+        words = words[df[words] > 1]
         if not len(words):
             return words
-        cuts = [slice(begins[t], ends[t]) for t in words.tolist()]
-        found = np.concatenate([p_doc[c] for c in cuts])
-        score = np.bincount(found, weights=np.concatenate([p_weight[c] for c in cuts]), minlength=n)
+        score = rows[row[words[row[words] >= 0]]].sum(0, dtype=np.float64)
+        cuts = [slice(begins[t], ends[t]) for t in words[row[words] < 0].tolist()]
+        if cuts:
+            score += np.bincount(np.concatenate([p_doc[c] for c in cuts]), weights=np.concatenate([p_weight[c] for c in cuts]), minlength=n)
         score[used] = 0
         hits = np.flatnonzero(score)
         if len(hits) > 64:  # far more than fill a window, unless they are very short; then the next round asks again
@@ -186,6 +191,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all rows: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    Rows are dealt to shards by a hash of the row and of its part of the input, so rows that repeat don't all meet in one shard.
     A null or empty text is one id, the one that ends every document. Repeated rows are documents of their own. Sequences are
     full but for the last of each shard, which is padded to the next power of two.
     """
@@ -194,7 +200,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     size = docs.agg(F.sum(F.octet_length(text_col) + 32)).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).alias("shard"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.spark_partition_id(), id_col, text_col), F.lit(shards)).alias("shard"))
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = word_ids(path), np.array([END_ID], "<u2").tobytes()
@@ -217,7 +223,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([own, *(pa.array(v, pa.int64()) for v in values)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         give_back()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))
     ready = rows.mapInArrow(tokenized, f"id {kind}, shard bigint, ids binary").repartition(parts, "shard").sortWithinPartitions("shard", "id")
     out = ready.mapInArrow(filled, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)

@@ -28,16 +28,22 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N_CLASSES = len(_GROUPS) + 2
-N_FEATURES = N_CLASSES + 9
+#: Buckets of the hashed trigrams of bytes, whose embeddings the encoder learns beside those of the shares.
+GRAMS = 128
+N_SHARES = N_CLASSES + 9
+N_FEATURES = N_SHARES + GRAMS
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _MIX = np.random.default_rng(5).integers(1, 2**62, 256, dtype=np.int64)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, and the number of passages of each text (1 at least).
 
-    They are shares of character classes and of repeated, capitalised and long words; nothing but the text is read.
+    They are shares of character classes and of repeated, capitalised and long words, and the roots of the shares of hashed
+    trigrams, case aside; nothing but the text is read.
     """
     raws = [x.encode("utf-8", "surrogatepass") + b"\n" for x in texts]  # so an empty text has one passage too
     lens = np.array([len(r) for r in raws])
@@ -76,6 +82,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out[:, N_CLASSES + 6] = np.minimum(np.bincount(passage, weights=long, minlength=n) / np.maximum(words, 1) / 10, 4)
         out[:, N_CLASSES + 7] = per(head > 10)
     out[:, N_CLASSES + 8] = sizes / PASSAGE
+    low = _LOWER[buf].astype(np.uint32)
+    low = np.concatenate([low, np.zeros(2, np.uint32)])
+    gram = ((low[:-2] * 65_536 + low[1:-1] * 256 + low[2:]) * np.uint32(2_654_435_761)) >> np.uint32(32 - 7)  # GRAMS is two to the 7
+    for s in range(0, n, 4096):  # the counts of some passages at a time
+        e = min(n, s + 4096)
+        at = slice(starts[s], starts[e - 1] + sizes[e - 1])
+        held = np.bincount((owner[at] - s) * GRAMS + gram[at], minlength=(e - s) * GRAMS).reshape(e - s, GRAMS)
+        out[s:e, N_SHARES:] = np.sqrt(held / sizes[s:e, None])
     return out, bags
 
 
@@ -140,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # of a bounded size, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    # rows that repeat an id may be many: those of the smallest text hash are taken, `limit` at most in all
+    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(limit) if limit else rows
     kept = rows.select(F.col("text"), F.col("y"))
 
     def work(c: dict[str, list]) -> dict[str, list]:
