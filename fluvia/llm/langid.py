@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from fluvia.llm.common import map_slices, table
 from fluvia.llm.quality import crc_bucket
 
-#: Documents that training reads at most, those whose ids hash lowest, and words after which it takes no further document.
-TRAIN_DOCS, TRAIN_WORDS = 3000, 400_000
+#: Documents that training reads at most, those whose ids hash lowest, and bytes of their texts: one that would take more than is
+#: left is passed over.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 2_800_000
 #: Buckets of the hashed features: runs of 2, 3 and 4 characters with the word's ends (so affixes too), and whole words.
 GRAMS, LEXICON = 1 << 15, 1 << 15
 
@@ -160,17 +161,17 @@ def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> WordCrf:
     """A field learned from text and lang of `limit` documents at most, those whose ids hash lowest. Rows with a null text
     or lang are not used; without any, every prediction is `und`."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    keyed = known.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text", "lang").alias("t"))
+    left, chosen = TRAIN_BYTES, []
+    for r in keyed.select("doc_id", "h", "t", F.octet_length("text").alias("size")).orderBy("h", "doc_id", "t").limit(limit).collect():  # numbers alone
+        if r["size"] <= left:
+            chosen.append((r["h"], r["t"]))
+            left -= r["size"]
+    picked = docs.sparkSession.createDataFrame(chosen or [(None, None)], "h bigint, t bigint").distinct()
+    rows = keyed.join(F.broadcast(picked), ["h", "t"]).dropDuplicates(["h", "t"]).collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     langs = sorted({r["lang"] for r in rows})
-    model, words, texts, y = WordCrf(langs), 0, [], []
-    for r in sorted(rows, key=lambda r: hash((r["doc_id"], 17))):
-        texts.append(r["text"])
-        y.append(langs.index(r["lang"]))
-        words += texts[-1].count(" ") + 1
-        if words > TRAIN_WORDS:
-            break
+    model, texts, y = WordCrf(langs), [r["text"] for r in rows], [langs.index(r["lang"]) for r in rows]
     if len(langs):
         model.train(texts, y)
     return model
