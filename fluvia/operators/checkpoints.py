@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df's rows, written to the checkpoint folder that the cluster names (spark.checkpoint.dir), or a local one if none is."""
+    """df's rows, written to the checkpoint folder that the cluster names (spark.checkpoint.dir). A local session without one gets
+    one of its own; on a cluster a machine-local folder would lose data, so there it has to be named."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)

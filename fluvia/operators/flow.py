@@ -110,7 +110,9 @@ class Flow:
         return self
 
     def batch_mode(self, mode: str = "adaptive") -> Flow:
-        """Batching between stages is Spark's; results don't depend on it."""
+        """Batching between stages is Spark's; results don't depend on it. mode: single, fixed, adaptive or timed."""
+        if mode not in ("single", "fixed", "adaptive", "timed"):
+            raise ValueError(f"no such batch mode: {mode}")
         return self
 
     # ---- stateful over all rows --------------------------------------------------------------------------------
@@ -343,9 +345,12 @@ class Flow:
     def collect(self, into: Callable[[list], Any] = list) -> Any:
         return into(self.df.collect())
 
-    def collect_all(self) -> Any:
-        """The rows on every executor; for results of a known small size."""
-        return self.df.sparkSession.sparkContext.broadcast(self.df.collect())
+    def collect_all(self, most: int = 1_000_000) -> Any:
+        """The rows on every executor; a result of more than `most` rows is refused rather than gathered."""
+        rows = self.df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows for every executor")
+        return self.df.sparkSession.sparkContext.broadcast(rows)
 
     def collect_channel(self, channel: Any) -> None:
         writers.to_channel(self.df, channel)

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fluvia.operators.base import Expr, col, listed
 
@@ -121,8 +122,8 @@ class SessionWindow:
 class TransactionWindow:
     """Windows that rows close: `commit` and `discard` end one, the row included; what stays open at the end is dropped.
 
-    commit_after: a time at which the window closes, if it is set by a row; with complete input it commits at the end, so
-    a key has one window then, of rows up to that time.
+    commit_after: a time at which the window commits, if a row sets it (the latest counts; one in the row's past is the row's own
+    time). Rows behind that time open the next window. Input being complete, a time that no row reaches commits too.
     """
 
     commit: Column
@@ -136,9 +137,15 @@ class TransactionWindow:
         ends = df.withColumns({"__commit": commit & ~discard, "__end": (commit | discard).cast("int")})
         ends = ends.withColumn(WINDOW, F.coalesce(F.sum("__end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         if self.commit_after is not None:
-            ends = ends.withColumn("__until", self.commit_after)
-            until = F.max("__until").over(Window.partitionBy(*keys, WINDOW))
-            ends = ends.withColumn("__commit", F.col("__commit") | until.isNotNull()).drop("__until")
+            if ts is None:
+                raise ValueError("commit_after needs a time column")
+            own = Window.partitionBy(*keys, WINDOW).orderBy(*order_by)
+            ends = ends.withColumn("__until", F.when(self.commit_after.isNotNull(), F.greatest(self.commit_after, F.col(ts))))
+            so_far = F.max("__until").over(own.rowsBetween(Window.unboundedPreceding, -1))
+            cut = yes((F.col(ts) > so_far) & (so_far >= F.lag(ts).over(own)))  # of a window before, the time lies before its rows
+            first = F.row_number().over(own) == 1
+            ends = ends.withColumns({"__commit": F.col("__commit") | F.col("__until").isNotNull(), "__opens": (cut | first).cast("int")})
+            ends = ends.withColumn(WINDOW, F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__until", "__opens")
         return ends, [WINDOW], F.max("__commit")
 
 
@@ -203,6 +210,9 @@ class WindowedFlow:
 
     def max_by(self, element: Expr, value: Expr, name: str = "max_by") -> Any:
         """The first element, by order, of the largest value."""
+        by = self.df.select(*map(col, self.order or [self.ts])).schema
+        if all(isinstance(f.dataType, NumericType) for f in by):  # two phases, nothing is gathered
+            return self.fold(F.max_by(col(element), F.struct(col(value), *(-col(o) for o in self.order or [self.ts]))).alias(name))
         best = F.struct(col(value).alias("v"), self._by().alias("o"), col(element).alias("e"))
         top = F.array_sort(F.collect_list(best), lambda a, b: F.when(a["v"] > b["v"], -1).when(a["v"] < b["v"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
         return self.fold(top[0]["e"].alias(name))
@@ -229,9 +239,16 @@ class WindowedFlow:
 
     def to_arrow(self, f: Callable[[Any], Any], schema: str) -> Any:
         """A function of each window's rows as an Arrow table."""
-        rows, by, _ = self.window.assign(self.df, self.keys, self.ts, self.order)
+        rows, by, keep = self.window.assign(self.df, self.keys, self.ts, self.order)
         from fluvia.operators.flow import KeyedFlow
 
+        if keep is not None:  # windows that are dropped give no rows here either
+            names = [*self.keys, *by]
+            kept = rows.groupBy(*names).agg(keep.alias("__keep")).where("__keep").select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(names)))
+            same = F.lit(True)
+            for k, c in enumerate(names):
+                same = same & F.col(c).eqNullSafe(F.col(f"__{k}"))
+            rows = rows.join(kept, same, "left_semi").select(*self.df.columns, *by)
         return KeyedFlow(rows.groupBy(*self.keys, *by).applyInArrow(f, schema), self.keys)
 
 

@@ -53,6 +53,15 @@ for key, make in {
     "reorder": lambda t: t.timed.reorder().map("event_id", "cents"),
 }.items():
     add(key, make, "SELECT event_id, cents FROM timed")
+_keyed = lambda t: t.timed.group_by("user_id")
+add("keyed_map", lambda t: _keyed(t).map("event_id", twice=F.col("cents") * 2), "SELECT user_id, event_id, cents * 2 AS twice FROM timed")
+add("keyed_filter", lambda t: _keyed(t).filter("cents > 1000").map("event_id"), "SELECT user_id, event_id FROM timed WHERE cents > 1000")
+add("keyed_filter_map", lambda t: _keyed(t).filter_map(F.when(F.col("event_id") % 2 == 0, F.col("cents")), "x"), "SELECT user_id, cents AS x FROM timed WHERE event_id % 2 = 0 AND cents IS NOT NULL")
+add("keyed_flat_map", lambda t: _keyed(t).flat_map(F.array("event_id", "cents"), "x"), "SELECT user_id, unnest([event_id, cents]) AS x FROM timed")
+add("keyed_flatten", lambda t: t.timed.with_columns(xs=F.array("cents", "ms")).group_by("user_id").flatten("xs", "event_id"), "SELECT user_id, event_id, unnest([cents, ms]) AS xs FROM timed")
+add("keyed_inspect", lambda t: _keyed(t).inspect("keyed", F.count(F.lit(1)).alias("rows")).map("event_id"), "SELECT user_id, event_id FROM timed")
+add("key_by_partition", lambda t: t.timed.key_by("user_id", per_partition=True).fold(F.sum("cents").alias("part")).unkey().group_by("user_id").fold(F.sum("part").alias("total")), "SELECT user_id, CAST(sum(cents) AS BIGINT) AS total FROM timed GROUP BY user_id")
+add("euclidean_distance", lambda t: t.timed.map("event_id", d=F.floor(F.sqrt(F.pow(F.col("user_id"), 2) + F.pow(F.col("cents"), 2)))), "SELECT event_id, CAST(floor(sqrt(user_id * user_id + cents * cents)) AS BIGINT) AS d FROM timed")
 add("drop_key", lambda t: t.timed.map("user_id", "cents").group_by("user_id").drop_key(), "SELECT cents FROM timed")
 add("map_memo", lambda t: t.timed.map("event_id", x="user_id").map_memo(_square_mod, "x", "y", "bigint", 1000), "SELECT event_id, user_id AS x, (user_id * user_id) % 7 AS y FROM timed")
 add("map_memo_by", lambda t: t.timed.map("event_id", x=F.col("user_id")).map_memo_by(_square_mod, "x", F.col("x") % 7, "y", "bigint", 7), "SELECT event_id, user_id AS x, (user_id * user_id) % 7 AS y FROM timed")
@@ -128,7 +137,8 @@ def _tagged(t: Tables) -> DataFrame:
 
 add("fold", lambda t: t.timed.fold(F.sum("cents").alias("total"), n()), "SELECT CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM timed")
 add("fold_empty", lambda t: t.timed.filter("event_id < 0").fold(F.sum("cents").alias("total")), "SELECT cents AS total FROM timed WHERE event_id < 0")
-add("fold_assoc", lambda t: t.timed.fold_pandas(_part_sum, _part_total, "total bigint, n bigint"), "SELECT CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM timed")
+add("fold_assoc", lambda t: t.timed.fold_assoc(F.sum("cents").alias("total"), n()), "SELECT CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM timed")
+add("fold_assoc_pandas", lambda t: t.timed.fold_pandas(_part_sum, _part_total, "total bigint, n bigint"), "SELECT CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM timed")
 add("reduce", lambda t: t.timed.reduce(F.max("cents").alias("top")), "SELECT max(cents) AS top FROM timed")
 add("reduce_assoc", lambda t: t.timed.reduce_assoc(F.min("cents").alias("low")), "SELECT min(cents) AS low FROM timed")
 add("fold_scan", lambda t: t.timed.fold_scan([F.max("cents").alias("top")], "event_id", (F.col("top") - F.col("cents")).alias("below")), "SELECT event_id, max(cents) OVER () - cents AS below FROM timed")
@@ -143,9 +153,11 @@ add("group_by_count", lambda t: t.timed.group_by_count("event_type"), "SELECT ev
 add("group_by_max_element", lambda t: t.timed.group_by_max_element("user_id", "cents", "event_id").df.select("user_id", "event_id", "cents"), "SELECT user_id, event_id, cents FROM timed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cents DESC, event_id) = 1")
 add("group_by_min_element", lambda t: t.timed.group_by_min_element("user_id", "cents", "event_id").df.select("user_id", "event_id", "cents"), "SELECT user_id, event_id, cents FROM timed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cents, event_id) = 1")
 add("keyed_fold", lambda t: t.timed.map("user_id", "event_id", "event_type").group_by("user_id").fold_ordered(F.substring("event_type", 1, 1), "event_id", F.lit(""), lambda a, x: F.concat(a, x), "types"), "SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS types FROM timed GROUP BY user_id")
-add("keyed_fold_assoc", lambda t: t.timed.map("user_id", "cents").group_by("user_id").fold_pandas(_local_by_user, _final_by_user, "user_id bigint, total bigint"), "SELECT user_id, CAST(sum(cents) AS BIGINT) AS total FROM timed GROUP BY user_id")
+add("keyed_fold_assoc", lambda t: t.timed.group_by("user_id").fold(F.sum("cents").alias("total")), "SELECT user_id, CAST(sum(cents) AS BIGINT) AS total FROM timed GROUP BY user_id")
+add("keyed_fold_assoc_pandas", lambda t: t.timed.map("user_id", "cents").group_by("user_id").fold_pandas(_local_by_user, _final_by_user, "user_id bigint, total bigint"), "SELECT user_id, CAST(sum(cents) AS BIGINT) AS total FROM timed GROUP BY user_id")
 add("keyed_reduce", lambda t: t.timed.group_by("user_id").reduce(F.min("cents").alias("low")), "SELECT user_id, min(cents) AS low FROM timed GROUP BY user_id")
-add("collect_count", lambda t: t.timed.count_row("count"), "SELECT count(*) AS count FROM timed")
+add("collect_count", lambda t: t.spark.createDataFrame([(t.timed.collect_count(),)], "count bigint"),
+     "SELECT count(*) AS count FROM timed")
 
 
 def _part_sum(rows):
@@ -178,16 +190,16 @@ add("sorted_limit", lambda t: t.timed.map("event_id", "cents").sorted_limit_by([
 # ---- joins -------------------------------------------------------------------------------------------------------
 
 _o = lambda t: t.orders.map("o_orderkey", "o_custkey")
-_c = lambda t: t.customer.filter("c_custkey % 3 <> 0").map("c_custkey", "c_nationkey")
-_INNER = "SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0"
-_LEFT = "SELECT o_orderkey, c_custkey, c_nationkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"
-_FULL = "SELECT o_orderkey, c_custkey, c_nationkey FROM (SELECT * FROM orders WHERE o_custkey % 5 <> 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"
+_c = lambda t: t.customer.map("c_custkey", "c_nationkey")
+_INNER = "SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey"
+_LEFT = "SELECT o_orderkey, c_custkey, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
+_FULL = "SELECT o_orderkey, c_custkey, c_nationkey FROM orders FULL JOIN customer ON o_custkey = c_custkey"
 _picked = lambda df: (df.df if isinstance(df, Flow) else df).select("o_orderkey", "c_custkey", "c_nationkey")
 _with = lambda t: _o(t).join_with(_c(t), "o_custkey", "c_custkey")
-_full = lambda t: _o(t).filter("o_custkey % 5 <> 0").join_with(_c(t), "o_custkey", "c_custkey")
+_full = lambda t: _o(t).join_with(_c(t), "o_custkey", "c_custkey")
 add("join_inner", lambda t: _picked(_o(t).join(_c(t), "o_custkey", "c_custkey")), _INNER)
 add("join_left", lambda t: _picked(_o(t).left_join(_c(t), "o_custkey", "c_custkey")), _LEFT)
-add("join_outer", lambda t: _picked(_o(t).filter("o_custkey % 5 <> 0").outer_join(_c(t), "o_custkey", "c_custkey")), _FULL)
+add("join_outer", lambda t: _picked(_o(t).outer_join(_c(t), "o_custkey", "c_custkey")), _FULL)
 for local in ("local_hash", "local_sort_merge"):
     name = "hash" if local == "local_hash" else "sort_merge"
     add(f"join_hash_{name}", lambda t, f=local: _picked(getattr(_with(t).ship_hash(), f)().inner()), _INNER)
@@ -195,9 +207,9 @@ for local in ("local_hash", "local_sort_merge"):
     add(f"join_hash_{name}_outer", lambda t, f=local: _picked(getattr(_full(t).ship_hash(), f)().outer()), _FULL)
     add(f"join_bc_{name}", lambda t, f=local: _picked(getattr(_with(t).ship_broadcast_right(), f)().inner()), _INNER)
     add(f"join_bc_{name}_left", lambda t, f=local: _picked(getattr(_with(t).ship_broadcast_right(), f)().left()), _LEFT)
-add("join_null_safe", lambda t: _nullable(t), "WITH k AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 10 END AS k FROM orders WHERE o_orderkey % 50 = 0), p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size % 10 AS BIGINT) END AS p FROM part WHERE p_partkey % 20 = 0) SELECT o_orderkey, p_partkey FROM k JOIN p ON k.k IS NOT DISTINCT FROM p.p")
+add("join_null_safe", lambda t: _nullable(t), "SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS k FROM orders) JOIN (SELECT p_partkey, nullif(p_partkey, 1) AS p FROM part) ON k IS NOT DISTINCT FROM p")
 add("keyed_join", lambda t: _picked(_o(t).with_columns(k="o_custkey").group_by("k").join(_c(t).with_columns(k="c_custkey").group_by("k"))), _INNER)
-add("keyed_join_outer", lambda t: _picked(_o(t).filter("o_custkey % 5 <> 0").with_columns(k="o_custkey").group_by("k").join_outer(_c(t).with_columns(k="c_custkey").group_by("k"))), _FULL)
+add("keyed_join_outer", lambda t: _picked(_o(t).with_columns(k="o_custkey").group_by("k").join_outer(_c(t).with_columns(k="c_custkey").group_by("k"))), _FULL)
 add("self_join", lambda t: t.nation.map("n_regionkey", a="n_nationkey").join(t.nation.map(b="n_nationkey", r="n_regionkey"), "n_regionkey", "r").map("a", "b"), "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y USING (n_regionkey)")
 add("interval_join", lambda t: _clicks_and_buys(t, False), "SELECT a.event_id AS click, b.event_id AS buy FROM timed a JOIN timed b ON b.ms BETWEEN a.ms - 60000 AND a.ms + 120000 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 add("keyed_interval_join", lambda t: _clicks_and_buys(t, True), "SELECT a.event_id AS click, b.event_id AS buy FROM timed a JOIN timed b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms - 3600000 AND a.ms + 7200000 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
@@ -205,8 +217,8 @@ add("window_join", lambda t: _window_join(t), "SELECT a.user_id, a.event_id AS c
 
 
 def _nullable(t: Tables) -> DataFrame:
-    k = t.orders.filter("o_orderkey % 50 = 0").map("o_orderkey", k=F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 10))
-    p = t.part.filter("p_partkey % 20 = 0").map("p_partkey", p=F.when(F.col("p_size") % 2 == 0, (F.col("p_size") % 10).cast("bigint")))
+    k = t.orders.map("o_orderkey", k=F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")))
+    p = t.part.map("p_partkey", p=F.nullif(F.col("p_partkey"), F.lit(1)))
     return k.join_with(p, "k", "p", null_safe=True).inner().select("o_orderkey", "p_partkey")
 
 
@@ -246,6 +258,10 @@ _SESSION = "SELECT user_id, w, count(*) AS n FROM (SELECT user_id, CAST(sum(CASE
 add("session_window", lambda t: _out(_user(t).window(SessionWindow(HOUR // 2)).order_by("ms", "event_id").count("n"), "n"), _SESSION)
 add("session_window_timestamps", lambda t: _sessions(t), "SELECT user_id, min(ms) AS first_ms, count(*) AS n FROM (SELECT user_id, ms, sum(CASE WHEN gap > 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS w FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM timed)) GROUP BY user_id, w")
 add("transaction_window", lambda t: _out(_user(t).window(TransactionWindow(F.col("event_type") == "purchase", F.col("event_type") == "error")).order_by("ms", "event_id").sum("cents", "total"), "total"), "SELECT user_id, w, CAST(sum(cents) AS BIGINT) AS total FROM (SELECT *, CAST(coalesce(sum(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS w FROM timed) GROUP BY user_id, w HAVING bool_or(event_type = 'purchase')")
+_UNTIL = "SELECT *, max(CASE WHEN event_type = 'purchase' THEN ms + 3600000 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS p FROM timed"
+add("transaction_window_commit_after", lambda t: _out(_user(t).window(TransactionWindow(F.lit(False), commit_after=F.when(F.col("event_type") == "purchase", F.col("ms") + HOUR))).order_by("ms", "event_id").sum("cents", "total"), "total"), f"SELECT user_id, w, CAST(sum(cents) AS BIGINT) AS total FROM (SELECT *, CAST(sum(CASE WHEN ms > u AND u >= p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS w FROM ({_UNTIL})) GROUP BY user_id, w HAVING bool_or(event_type = 'purchase')")
+add("count_window_gaps", lambda t: _out(_count(t, CountWindow(5, 8)).count("n"), "n"), f"SELECT user_id, rn // 5 AS w, count(*) AS n FROM {_RN} GROUP BY user_id, rn // 5 HAVING count(*) = 5")
+add("count_window_to_arrow", lambda t: _count(t, CountWindow.tumbling(7)).to_arrow(_arrow_rows, "user_id bigint, rows bigint, total bigint"), f"SELECT user_id, count(*) AS rows, CAST(sum(cents) AS BIGINT) AS total FROM {_RN} GROUP BY user_id, rn // 7 HAVING count(*) = 7")
 add("all_window", lambda t: _user(t).window(AllWindow()).max("cents", "top"), "SELECT user_id, max(cents) AS top FROM timed GROUP BY user_id")
 add("window_all", lambda t: t.timed.window_all(EventTimeWindow.tumbling(24 * HOUR)).max("cents", "top").df.select(F.col("window_id").cast("bigint").alias("w"), "top"), "SELECT (ms // 86400000) * 86400000 AS w, max(cents) AS top FROM timed GROUP BY ms // 86400000")
 add("window_sum", lambda t: _out(_tumbling(t).sum("cents", "x"), "x"), _T.format("CAST(sum(cents) AS BIGINT) AS x"))

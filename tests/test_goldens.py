@@ -220,3 +220,24 @@ def test_fold_pandas(ints):
 
     f = ints(*range(100)).repartition_by(5, "x").fold_pandas(lambda p: pd.DataFrame({"top": [p["x"].max()]}), lambda p: pd.DataFrame({"top": [p["top"].max()]}), "top bigint")
     assert values(f, "top") == [99]
+
+
+def test_commit_after_closes_at_its_time(spark):
+    """Rows behind the closing time open the next window, which needs a commit of its own."""
+    rows = [(1, 1, 10, 3), (1, 2, 20, None), (1, 9, 40, None), (2, 1, 1, 5), (2, 4, 2, 8), (2, 8, 4, None), (2, 9, 8, 9), (2, 10, 16, None)]
+    flow = Flow(spark.createDataFrame(rows, "k bigint, at bigint, x bigint, until bigint"), "at").group_by("k")
+    w = flow.window(TransactionWindow(F.lit(False), commit_after=F.col("until"))).order_by("at").sum("x", "total")
+    assert sorted(map(tuple, w.df.select("k", "window_id", "total").collect())) == [(1, 0, 30), (2, 0, 7), (2, 1, 8)]
+
+
+def test_to_arrow_leaves_dropped_windows_out(spark):
+    flow = Flow(spark.createDataFrame([(1, k) for k in range(5)], "k bigint, x bigint"), "x").group_by("k")
+    got = flow.window(CountWindow.tumbling(3)).order_by("x").to_arrow(lambda t: t.select(["k", "x"]), "k bigint, x bigint")
+    assert sorted(r["x"] for r in got.df.collect()) == [0, 1, 2]
+
+
+def test_refusals(ints):
+    with pytest.raises(ValueError):
+        ints(1).batch_mode("no such mode")
+    with pytest.raises(ValueError):
+        ints(1, 2, 3).collect_all(2)
