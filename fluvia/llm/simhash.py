@@ -104,7 +104,8 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     its owner's number among the row's fingerprints. Their number grows as that of the fingerprints, and parts with it.
     """
     spark = fps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() * AVERAGE // PART_VARIANTS + 1)
+    least, count = int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count()
+    parts = max(least, count * AVERAGE // PART_VARIANTS + 1)
     batch = min(MADE, max(256, 2 * parts))  # so that a row holds some hundred variants
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,8 @@ def close_pairs(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
         give_back()
 
-    rows = fps.select("fp").mapInArrow(emitted, "part int, variants binary, owners binary, own binary")
+    spread = fps.select("fp").repartition(max(least, count // MADE + 1))  # a table of fingerprints is small, its variants aren't
+    rows = spread.mapInArrow(emitted, "part int, variants binary, owners binary, own binary")
     return written(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "a bigint, b bigint")).distinct()
 
 
