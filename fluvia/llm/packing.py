@@ -142,10 +142,11 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
         words = words[df[words] > 1]
         if not len(words):
             return words
-        score = rows[row[words[row[words] >= 0]]].sum(0, dtype=np.float64)
-        cuts = [slice(begins[t], ends[t]) for t in words[row[words] < 0].tolist()]
-        if cuts:
-            score += np.bincount(np.concatenate([p_doc[c] for c in cuts]), weights=np.concatenate([p_weight[c] for c in cuts]), minlength=n)
+        score = rows[row[words[row[words] >= 0]]].sum(0).astype(np.float64)
+        rare = words[row[words] < 0]
+        held = df[rare]
+        at = np.repeat(begins[rare] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        score += np.bincount(p_doc[at], weights=p_weight[at], minlength=n)
         score[used] = 0
         hits = np.flatnonzero(score)
         if len(hits) > 64:  # far more than fill a window, unless they are very short; then the next round asks again
