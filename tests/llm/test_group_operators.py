@@ -418,9 +418,27 @@ def test_lines_read_every_character(spark):
     assert len(want) == 35 and {x["doc_id"] for x in got} == want
 
 
-def test_lines_use_no_python(spark):
-    plan = lines.op9_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_line_bands_recall():
+    """Lines just at the similarity share a band as often as is stated, one shingle or very many of them; long lines are read in parts."""
+    r = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    near = [("".join(r.choice(letters, 90)), "".join(r.choice(letters, 10)), "".join(r.choice(letters, 10))) for _ in range(1500)]
+    pairs = [(a + x, a + y) for a, x, y in near]
+    sets = [[plain_shingles(t) for t in p] for p in pairs]
+    expected = np.mean([1 - (1 - (len(a & b) / len(a | b)) ** lines.ROWS) ** lines.BANDS for a, b in sets])
+    keys = np.array(lines.band_keys([t for p in pairs for t in p]))
+    met = (keys[:, ::2] == keys[:, 1::2]).any(0)
+    assert abs(met.mean() - expected) < 0.02 and expected > 0.97
+    assert not any(set(k[::2]) & set(np.roll(k[1::2], 1)[met]) - set(k[1::2][met]) for k in keys)
+    long = ["".join(r.choice(letters, n)) for n in (3 * lines.PART, 3, 7 * lines.PART + 11)]
+    together, whole = lines.minima(long), []
+    for t in long:
+        h, _ = lines.shingles([t])
+        whole.append([int(((h >> np.uint64(32)).astype(np.uint32) * m).min()) for m in lines.MULTIPLIERS])
+    assert together.T.tolist() == whole
+    assert lines.reach([p[0] for p in pairs], [p[1] for p in pairs], 0.8).tolist() == [len(a & b) >= 0.8 * len(a | b) for a, b in sets]
+    size, bits = lines.size_and_map([t for p in pairs for t in p])
+    assert size.tolist() == [len(s) for p in sets for s in p] and bits.shape == (3000, lines.MAP)
 
 
 # ---- pages ---------------------------------------------------------------------------------------------------------
