@@ -69,10 +69,17 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(x, y, z), x < y < z, joined pairwise by undirected edges (a, b)."""
+    """(x, y, z), x < y < z, joined pairwise by undirected edges (a, b).
+
+    Edges lead to the end of higher degree, so a node is the start of few of them, however many it has, and pairs of those are few.
+    """
     e = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct()
-    wedges = e.join(e.select(F.col("x").alias("y"), F.col("y").alias("z")), "y")
-    return wedges.join(e.select("x", F.col("y").alias("z")), ["x", "z"]).select("x", "y", "z")
+    degree = e.select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    ends = e.join(degree.select(F.col("n").alias("x"), F.struct("d", "n").alias("u")), "x").join(degree.select(F.col("n").alias("y"), F.struct("d", "n").alias("v")), "y")
+    led = cut(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    wedges = led.join(led.withColumnRenamed("v", "w"), "u").where("v < w")
+    found = wedges.join(led.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    return found.select(F.array_sort(F.array("u.n", "v.n", "w.n")).alias("t")).select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
 
 
 def kmeans(points: DataFrame, start: list[tuple[int, int]], rounds: int) -> list[tuple[int, int]]:
@@ -95,16 +102,29 @@ def kmeans(points: DataFrame, start: list[tuple[int, int]], rounds: int) -> list
     return flow.replay(rounds, start, nearest, lambda df: df, moved)
 
 
-def _sparse(t: Tables) -> DataFrame:
-    return t.lineitem.df.where("l_partkey % 37 = 0 AND l_quantity <= 2").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
+def _owners(t: Tables) -> DataFrame:
+    """Order to customer to nation to region; a node's last digit tells its kind."""
+    orders = t.orders.df.selectExpr("o_orderkey * 10 + 3 AS a", "o_custkey * 10 + 2 AS b")
+    customers = t.customer.df.selectExpr("c_custkey * 10 + 2 AS a", "c_nationkey * 10 + 1 AS b")
+    return orders.union(customers).union(t.nation.df.selectExpr("n_nationkey * 10 + 1 AS a", "n_regionkey * 10 AS b"))
+
+
+def _trade(t: Tables) -> DataFrame:
+    """Suppliers with their parts and nations, and parts with the nations that bought them; a node's last digit tells its kind."""
+    bought = t.lineitem.df.join(t.orders.df, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.df, F.col("o_custkey") == F.col("c_custkey"))
+    supplied = t.lineitem.df.selectExpr("l_suppkey * 10 AS a", "l_partkey * 10 + 1 AS b")
+    return supplied.union(t.supplier.df.selectExpr("s_suppkey * 10 AS a", "s_nationkey * 10 + 2 AS b")).union(bought.selectExpr("l_partkey * 10 + 1 AS a", "c_nationkey * 10 + 2 AS b"))
 
 
-def _suppliers(t: Tables) -> DataFrame:
-    return t.lineitem.df.where("l_quantity = 1 AND l_partkey % 11 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")).where("a <> b").distinct()
+_OWNERS = "owners AS (SELECT o_orderkey * 10 + 3 AS a, o_custkey * 10 + 2 AS b FROM orders UNION ALL SELECT c_custkey * 10 + 2, c_nationkey * 10 + 1 FROM customer UNION ALL SELECT n_nationkey * 10 + 1, n_regionkey * 10 FROM nation)"
+_TRADE = "trade AS (SELECT l_suppkey * 10 AS a, l_partkey * 10 + 1 AS b FROM lineitem UNION ALL SELECT s_suppkey * 10, s_nationkey * 10 + 2 FROM supplier UNION ALL SELECT l_partkey * 10 + 1, c_nationkey * 10 + 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
 
 
-_SPARSE = "sparse AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_partkey % 37 = 0 AND l_quantity <= 2)"
-_SUPPLIERS = "suppliers AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem WHERE l_quantity = 1 AND l_partkey % 11 = 0 AND l_suppkey <> l_partkey % 100 + 1)"
+def _components_sql(rounds: int) -> str:
+    """Nodes take the smallest label next to them; of suppliers and parts none is more than a few steps from any other."""
+    parts = [EDGES, "both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges)", "l0 AS (SELECT DISTINCT a AS node, a AS label FROM both_ways)"]
+    parts += [f"l{k + 1} AS MATERIALIZED (SELECT a AS node, least(a, min(label)) AS label FROM both_ways JOIN l{k} ON b = node GROUP BY a)" for k in range(rounds)]
+    return f"WITH {', '.join(parts)} SELECT node, min(label) AS label FROM (SELECT * FROM l{rounds} UNION ALL SELECT * FROM l{rounds - 1}) GROUP BY node"
 
 
 def _pagerank_sql() -> str:
@@ -159,7 +179,7 @@ def _nested(t: Tables) -> DataFrame:
 
 def _delta(t: Tables) -> DataFrame:
     """Shortest hops from the smallest supplier, as a loop over changed states."""
-    both = _sparse_both(t).persist()
+    both = _both_ways(t).persist()
     start = both.agg(F.min("a").alias("s"))
     nodes = both.select(F.col("a").alias("node")).distinct().crossJoin(F.broadcast(start)).select("node", F.when(F.col("node") == F.col("s"), 0).cast("bigint").alias("hops"))
 
@@ -170,7 +190,7 @@ def _delta(t: Tables) -> DataFrame:
     return out.df
 
 
-def _sparse_both(t: Tables) -> DataFrame:
+def _both_ways(t: Tables) -> DataFrame:
     e = t.edges.df
     return e.union(e.select("b", "a"))
 
@@ -189,9 +209,9 @@ def _replay_sql(rounds: int) -> str:
 
 
 add("pagerank", lambda t: pagerank(t.edges.df), _pagerank_sql())
-add("connected_components", lambda t: components(_sparse(t)), f"WITH RECURSIVE {_SPARSE}, both_ways AS (SELECT a, b FROM sparse UNION ALL SELECT b, a FROM sparse), reach(node, far) AS (SELECT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.far = both_ways.a) SELECT node, min(far) AS label FROM reach GROUP BY node")
-add("transitive_closure", lambda t: transitive_closure(_suppliers(t)), f"WITH RECURSIVE {_SUPPLIERS}, paths(a, b) AS (SELECT a, b FROM suppliers UNION SELECT paths.a, suppliers.b FROM paths JOIN suppliers ON paths.b = suppliers.a) SELECT a, b FROM paths WHERE a <> b")
-add("triangles", lambda t: triangles(_suppliers(t)), f"WITH {_SUPPLIERS}, e AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM suppliers) SELECT p.x, p.y, q.y AS z FROM e p JOIN e q ON p.y = q.x JOIN e r ON r.x = p.x AND r.y = q.y")
+add("connected_components", lambda t: components(t.edges.df), _components_sql(12))
+add("transitive_closure", lambda t: transitive_closure(_owners(t)), f"WITH RECURSIVE {_OWNERS}, paths(a, b) AS (SELECT a, b FROM owners UNION SELECT paths.a, owners.b FROM paths JOIN owners ON paths.b = owners.a) SELECT a, b FROM paths WHERE a <> b")
+add("triangles", lambda t: triangles(_trade(t)), f"WITH {_TRADE}, e AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM trade) SELECT p.x, p.y, q.y AS z FROM e p JOIN e q ON p.y = q.x JOIN e r ON r.x = p.x AND r.y = q.y")
 add("kmeans", _kmeans, _kmeans_sql(_START, 3))
 add("collatz", lambda t: t.part.map(x="p_partkey").with_columns(steps=collatz_steps(F.col("x"))).reduce_assoc(F.max(F.struct("steps", -F.col("x"))).alias("m")).map(steps=F.col("m.steps"), x=-F.col("m.col2")), "WITH RECURSIVE c(x, v, steps) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION ALL SELECT x, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, steps + 1 FROM c WHERE v > 1) SELECT max(steps) AS steps, arg_max(x, steps * 1000000000000 - x) AS x FROM c")
 add("iterate_state", _iterated, _unrolled(5))
