@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -441,6 +442,37 @@ def test_line_bands_recall():
     assert size.tolist() == [len(s) for p in sets for s in p] and bits.shape == (3000, lines.MAP)
 
 
+def test_lines_run_without_python(spark, monkeypatch):
+    """Shingles, signatures and similarities are DataFrame operations: no function of Python is sent to the executors."""
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", refused)
+    monkeypatch.setattr(DataFrame, "mapInPandas", refused)
+    text = "a line of some length, long enough for many shingles, that comes twice"
+    df = spark.createDataFrame([(1, text), (2, text + "."), (3, "another line altogether")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in lines.dedup_lines(df).collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_line_signatures_recall(spark):
+    """As test_line_bands_recall, of the signatures that queries make; their bits rule out no pair, and similarities are exact."""
+    r = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzé😀 ")
+    parts = [["".join(r.choice(letters, n)) for n in (90, 10, 10)] for _ in range(1500)]
+    pairs = [(a + x, a + y) for a, x, y in parts]
+    sets = [[plain_shingles(t) for t in p] for p in pairs]
+    expected = np.mean([1 - (1 - (len(a & b) / len(a | b)) ** lines.ROWS) ** lines.BANDS for a, b in sets])
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(t for p in pairs for t in p)], "h bigint, line string")
+    got = {x["h"]: x for x in lines.signatures(rows).collect()}
+    both = [(got[2 * k], got[2 * k + 1]) for k in range(1500)]
+    assert abs(np.mean([any(x[f"k{b}"] == y[f"k{b}"] for b in range(lines.BANDS)) for x, y in both]) - expected) < 0.02
+    assert all((x["bits"] ^ y["bits"]).bit_count() <= lines.UNLIKE for x, y in both)
+    ids = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(1500)], "a bigint, b bigint")
+    want = {2 * k for k, (a, b) in enumerate(sets) if len(a & b) >= 0.82 * len(a | b)}
+    assert 0 < len(want) < 1500 and {x["a"] for x in lines.alike(ids, rows, 0.82).collect()} == want
+    assert {x["a"] for x in lines.near(ids, lines.maps(rows), 0.82).collect()} >= want
+
+
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 
