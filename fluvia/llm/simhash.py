@@ -175,9 +175,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     A row's number stands for it in the groups, so rows without an id, or with one id and different texts, are documents of their own.
     """
     names = docs.columns
-    rows = docs.withColumns({"__hash": F.xxhash64("text"), "__second": F.xxhash64(F.lit(1), "text")})
+    of = F.xxhash64(F.col("doc_id").isNull(), "doc_id")
+    rows = docs.withColumns({"__hash": F.xxhash64("text"), "__second": F.xxhash64(F.lit(1), "text"), "__of": of})
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__hash").alias("hash"), F.col("__second").alias("second")).alias("key"), "text")
     groups = simhash_groups(keyed, "key", "text").where("key = component_id").select("key").distinct()
-    kept = groups.select(F.col("key.id").alias("__id"), F.col("key.hash").alias("__h"), F.col("key.second").alias("__s"))
-    same = rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__hash"] == kept["__h"]) & (rows["__second"] == kept["__s"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash", "__second"]).select(*names)
+    kept = groups.select(F.col("key.hash").alias("__hash"), F.col("key.second").alias("__second"), F.xxhash64("key.none", "key.id").alias("__of"))
+    # repetitions are dropped by the columns that the join deals rows by, so texts are shuffled once
+    return rows.join(kept, ["__hash", "__second", "__of"], "left_semi").dropDuplicates(["doc_id", "__hash", "__second", "__of"]).select(*names)

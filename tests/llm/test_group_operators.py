@@ -91,6 +91,23 @@ def test_near_duplicates_without_ids(spark):
     assert got == sorted(map(str, df.where("doc_id IS NOT NULL").distinct().unionByName(df.where(F.col("text") == texts[1])).collect()))
 
 
+def test_near_duplicates_shuffle_texts_once(spark):
+    """Where tables are too large to be sent to every task."""
+    def shuffles(node):
+        own = node.nodeName() == "Exchange" and any(n in node.output().toString() for n in ("text#", "first#"))  # as it is, or as an aggregate
+        return own + sum(shuffles(node.children().apply(k)) for k in range(node.children().size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "e f g h")], "doc_id bigint, text string")
+        kept = simhash.without_near_duplicates(df)
+        assert shuffles(kept._jdf.queryExecution().executedPlan().initialPlan()) == 1
+        assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d"), (None, "e f g h")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_variants_of_many_parts(spark, monkeypatch):
     """Clustered fingerprints in many parts and small batches give the links of brute force."""
     monkeypatch.setattr(simhash, "PART_VARIANTS", 2000)
