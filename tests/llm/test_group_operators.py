@@ -400,6 +400,51 @@ def test_lines_of_one_template_are_one_component(spark):
     assert want <= got <= want + 2
 
 
+def test_lines_of_a_bucket_below_the_similarity(spark, monkeypatch):
+    """Long lines of one family, nearly all pairs of which lie below the similarity: few pairs are counted whole, and no copy is missed."""
+    r = np.random.default_rng(14)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 6))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(140):
+        own = list(base)
+        for p in r.choice(150, 8, replace=False):
+            own[p] = word()
+        rows.append(" ".join(own))
+        if k < 20:
+            own[int(r.integers(0, 150))] = word()
+            rows.append(" ".join(own))
+    sets = [plain_shingles(t) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    tiles, tried = lines.tile_pairs, []
+
+    def counted(*args):
+        tried.append(lines.written(tiles(*args)))
+        return tried[-1]
+
+    monkeypatch.setattr(lines, "tile_pairs", counted)
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).where("n_dropped = 0").count()
+    want = len(set(united(len(rows), near)))
+    assert 100 < want <= got <= want + 2
+    assert len(near) < 50 and sum(x.count() for x in tried) < 1000  # 6,189 by maps of MAP words alone
+
+
+def test_line_wide_maps(spark):
+    """They hold a bit for every shingle and count each once; what they rule out is below the similarity."""
+    r = np.random.default_rng(15)
+    texts = ["".join(r.choice(list("abcdé😀 "), n)) for n in (1, 4, 5, 6, 40, 700)] + ["ab" * 300, "x" * 20_050]
+    got = {x["h"]: x for x in lines.wide_maps(spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")).collect()}
+    for k, t in enumerate(texts):
+        n, set_bits = len(plain_shingles(t)), sum((w & (2**64 - 1)).bit_count() for w in got[k]["wide"])
+        assert got[k]["n"] == n and len(got[k]["wide"]) == lines.WIDE and 0.9 * n <= set_bits <= n
+    pairs = [(t, t[: len(t) - n] + "".join(r.choice(list("ABCDEF"), n))) for n in range(0, 160, 4) for t in [texts[5]]]
+    rows = lines.wide_maps(spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "h bigint, line string"))
+    x = rows.where("h % 2 = 0").select(F.shiftright("h", 1).alias("k"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    both = x.join(rows.where("h % 2 = 1").select(F.shiftright("h", 1).alias("k"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b")), "k")
+    kept = {y["k"] for y in both.where(lines.within_wide("_a", "_b", 0.8)).collect()}
+    similar = [len(plain_shingles(a) & plain_shingles(b)) / len(plain_shingles(a) | plain_shingles(b)) for a, b in pairs]
+    assert {k for k, s in enumerate(similar) if s >= 0.8} <= kept <= {k for k, s in enumerate(similar) if s >= 0.75}
+
+
 def test_lines_white_space(spark):
     """White space of any kind at the ends doesn't count, and lines of white space alone stay."""
     rows = [(1, "now\t\r\n\r\n \t\nlater on\r"), (2, "\u00a0now\nother words\n\r")]
