@@ -535,6 +535,37 @@ def test_line_signatures_recall(spark):
     assert {x["a"] for x in lines.near(ids, lines.maps(rows), 0.82).collect()} >= want
 
 
+def test_lines_of_settled_buckets_have_no_maps(spark, monkeypatch):
+    """Maps are made, and lines read again, only for buckets that hold several components after each line met its bucket's first."""
+    r = np.random.default_rng(16)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 6))
+    base, mapped = [[word() for _ in range(40)] for _ in range(30)], []
+    rows = [" ".join([*own[:k], word(), *own[k + 1 :]]) for own in base for k in (3, 20, 37)] + ["alone " + word()]
+    made = lines.maps
+    monkeypatch.setattr(lines, "maps", lambda of: mapped.append(of.count()) or made(of))
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    assert got.agg(F.sum("n_dropped")).first()[0] == 60
+    assert sum(mapped) == 0
+
+
+@pytest.mark.parametrize("most", [0, 100, 200_000])
+def test_lines_alike_of_any_length(spark, monkeypatch, most):
+    """Lines beyond LONG are compared shingle by shingle, others as arrays: both count different shingles, as brute force does."""
+    monkeypatch.setattr(lines, "LONG", most)
+    r = np.random.default_rng(17)
+    text = lambda n: "".join(r.choice(list("abcdé😀 "), n))
+    pairs = [("ab", "ab"), ("ab", "abc"), ("ab" * 20, "ab" * 100), ("abcde", "abcdef")]
+    for n in (10, 60, 95, 120, 300):
+        for changed in range(1, n // 4, max(1, n // 40)):
+            t = text(n)
+            pairs.append((t, text(changed) + t[changed:]))
+    sets = [(plain_shingles(a), plain_shingles(b)) for a, b in pairs]
+    rows = spark.createDataFrame(list(enumerate(t for p in pairs for t in p)), "h bigint, line string")
+    ids = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a bigint, b bigint")
+    want = {2 * k for k, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)}
+    assert 10 < len(want) < len(pairs) and {x["a"] for x in lines.alike(ids, rows, 0.8).collect()} == want
+
+
 # ---- pages ---------------------------------------------------------------------------------------------------------
 
 
