@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.expressions import collatz_steps
@@ -71,15 +71,27 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def triangles(edges: DataFrame) -> DataFrame:
     """(x, y, z), x < y < z, joined pairwise by undirected edges (a, b).
 
-    Edges lead to the end of higher degree, so a node is the start of few of them, however many it has, and pairs of those are few.
+    Edges lead to the end of higher degree, so a node is the start of at most sqrt(2 edges) of them, however many it has. The third
+    node of a triangle that starts u, v is sought among the ends of whichever of u and v starts fewer edges: the pairs that are looked
+    up are the sum of those smaller numbers over all edges. Nothing is written but shuffles: of edges by both ends (degrees, then
+    direction) and of pairs.
     """
     e = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct()
     degree = e.select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    ends = e.join(degree.select(F.col("n").alias("x"), F.struct("d", "n").alias("u")), "x").join(degree.select(F.col("n").alias("y"), F.struct("d", "n").alias("v")), "y")
-    led = cut(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    wedges = led.join(led.withColumnRenamed("v", "w"), "u").where("v < w")
-    found = wedges.join(led.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
-    return found.select(F.array_sort(F.array("u.n", "v.n", "w.n")).alias("t")).select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
+    ends = e.join(degree.select(F.col("n").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("n").alias("y"), F.col("d").alias("dy")), "y")
+    first = F.struct("dx", "x") < F.struct("dy", "y")
+    led = ends.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("v"), F.greatest("dx", "dy").alias("dv"))
+    led = led.where("u IS NOT NULL AND v IS NOT NULL").repartition("u")  # always true; with it, and all columns read, every use below reads the same exchange
+    own = Window.partitionBy("u").orderBy("dv", "v")
+    started = led.withColumns({"k": F.row_number().over(own), "out": F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    starts = started.where("k = 1").select(F.col("u").alias("v"), F.col("out").alias("out_v"))
+    both = started.drop("k").join(starts, "v", "left")
+    third = led.select("u", F.col("v").alias("w"), F.col("dv").alias("dw"))
+    later = F.struct("dv", "v") < F.struct("dw", "w")
+    on_v = both.where("out_v <= out").join(third.withColumnRenamed("u", "v"), "v").where(later).select(F.col("u").alias("p"), F.col("w").alias("q"), F.col("v").alias("r"))
+    on_u = both.where("out_v > out AND out_v * (out - 1) > 0").join(third, "u").where(later).select(F.col("v").alias("p"), F.col("w").alias("q"), F.col("u").alias("r"))
+    pairs = on_v.union(on_u).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "r")
+    return pairs.join(e, ["x", "y"]).select(F.array_sort(F.array("x", "y", "r")).alias("t")).select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
 
 
 def kmeans(points: DataFrame, start: list[tuple[int, int]], rounds: int) -> list[tuple[int, int]]:
@@ -111,7 +123,8 @@ def _owners(t: Tables) -> DataFrame:
 
 def _trade(t: Tables) -> DataFrame:
     """Suppliers with their parts and nations, and parts with the nations that bought them; a node's last digit tells its kind."""
-    bought = t.lineitem.df.join(t.orders.df, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.df, F.col("o_custkey") == F.col("c_custkey"))
+    nations = t.orders.df.join(t.customer.df, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")  # before the longest table
+    bought = t.lineitem.df.join(nations, F.col("l_orderkey") == F.col("o_orderkey"))
     supplied = t.lineitem.df.selectExpr("l_suppkey * 10 AS a", "l_partkey * 10 + 1 AS b")
     return supplied.union(t.supplier.df.selectExpr("s_suppkey * 10 AS a", "s_nationkey * 10 + 2 AS b")).union(bought.selectExpr("l_partkey * 10 + 1 AS a", "c_nationkey * 10 + 2 AS b"))
 
