@@ -236,6 +236,35 @@ def test_to_arrow_leaves_dropped_windows_out(spark):
     assert sorted(r["x"] for r in got.df.collect()) == [0, 1, 2]
 
 
+def test_to_arrow_hands_windows_over_whole(spark):
+    """Windows longer than a batch, many short ones, null and NaN keys, rows in order, results of any length, the key before the table."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = [(1.0, 25_000 - k) for k in range(25_000)] + [(None, 7), (float("nan"), 5), (None, 3), (float("nan"), 2), (0.0, 1), (-0.0, 2)] + [(float(k), k) for k in range(2, 9_000)]
+    flow = Flow(spark.createDataFrame(rows, "k double, x bigint").repartition(3), "x").group_by("k")
+    w = flow.window(AllWindow()).order_by("x")
+    some = lambda t: pa.table({"n": pa.array([t.num_rows]), "k": t["k"].slice(0, 1), "first": t["x"].slice(0, 1), "sorted": [t["x"].to_pylist() == sorted(t["x"].to_pylist())]})
+    got = [tuple(r) for r in w.to_arrow(some, "k double, n bigint, first bigint, sorted boolean").df.collect()]
+    assert len(got) == 4 + 8_998 and all(r[3] for r in got) and sum(r[1] for r in got) == len(rows)
+    assert sorted((str(k), n, first) for k, n, first, _ in got if n > 1) == [("0.0", 2, 1), ("1.0", 25_000, 1), ("None", 2, 3), ("nan", 2, 2)]
+    twice = lambda key, t: pa.table({"k": pa.array([key[0].as_py()] * 2, pa.float64()), "x": [pc.max(t["x"]).as_py()] * 2}) if t.num_rows == 2 else pa.table({})
+    assert sorted(r["x"] for r in w.to_arrow(twice, "k double, x bigint").df.collect()) == [2, 2, 5, 5, 7, 7]
+    with pytest.raises(Exception, match="types"):
+        w.to_arrow(lambda t: pa.table({"n": pa.array([1], pa.int32())}), "n bigint").df.collect()
+    with pytest.raises(Exception, match="columns"):
+        w.to_arrow(lambda t: pa.table({"m": [1]}), "n bigint").df.collect()
+    none = Flow(spark.createDataFrame([], "k bigint, x bigint"), "x").group_by("k").window(AllWindow()).to_arrow(lambda t: t, "k bigint, x bigint")
+    assert none.df.collect() == []
+
+
+def test_to_arrow_passes_many_windows_at_a_time(spark):
+    """Python is given batches of windows; a group of Spark's own for each costs a millisecond and more a window."""
+    flow = Flow(spark.range(10).selectExpr("id AS k", "id AS x"), "x").group_by("k").window(EventTimeWindow.tumbling(5)).order_by("x")
+    plan = flow.to_arrow(lambda t: t.select(["k", "x"]), "k bigint, x bigint").df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def test_refusals(ints):
     with pytest.raises(ValueError):
         ints(1).batch_mode("no such mode")
