@@ -68,20 +68,29 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+def triangles(edges: DataFrame, most_told: int = 1 << 19) -> DataFrame:
     """(x, y, z), x < y < z, joined pairwise by undirected edges (a, b).
 
     Edges lead to the end of higher degree, so a node is the start of at most sqrt(2 edges) of them, however many it has. The third
     node of a triangle that starts u, v is sought among the ends of whichever of u and v starts fewer edges: the pairs that are looked
-    up are the sum of those smaller numbers over all edges. Nothing is written but shuffles: of edges by both ends (degrees, then
-    direction) and of pairs.
+    up are the sum of those smaller numbers over all edges. Nothing is written but shuffles of edges and pairs.
+
+    Degrees of the highest nodes, `most_told` at most, are broadcast and give the direction of every edge at one of them; the degrees
+    of other edges' ends are joined.
     """
     e = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct()
-    degree = e.select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    ends = e.join(degree.select(F.col("n").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("n").alias("y"), F.col("d").alias("dy")), "y")
+    degree = e.select(F.explode(F.array("x", "y")).alias("n")).where("n IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    bits = F.length(F.bin("d"))
+    sizes = degree.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(Window.orderBy(F.desc("b"))))  # 63 rows at most
+    high = F.broadcast(degree.crossJoin(F.broadcast(sizes.where(F.col("n") <= most_told).agg(F.min("b").alias("b")))).where(bits >= F.col("b")))
+    by = lambda d, end: d.select(F.col("n").alias(end), F.col("d").alias(f"d{end}"))
+    marked = e.join(F.broadcast(by(high, "x")), "x", "left").join(F.broadcast(by(high, "y")), "y", "left").select("x", "y", "dx", "dy")
+    told = marked.where("dx IS NOT NULL OR dy IS NOT NULL").select("x", "y", F.coalesce("dx", F.lit(0)).alias("dx"), F.coalesce("dy", F.lit(0)).alias("dy"))
+    rest = marked.where("dx IS NULL AND dy IS NULL").select("x", "y").join(by(degree, "x"), "x").join(by(degree, "y"), "y")
+    ends = told.unionByName(rest)
     first = F.struct("dx", "x") < F.struct("dy", "y")
     led = ends.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("v"), F.greatest("dx", "dy").alias("dv"))
-    led = led.where("u IS NOT NULL AND v IS NOT NULL").repartition("u")  # always true; with it, and all columns read, every use below reads the same exchange
+    led = led.where("u IS NOT NULL AND v IS NOT NULL").repartition("u")  # always true; so, and as all columns are read, every use below reads the same exchange
     own = Window.partitionBy("u").orderBy("dv", "v")
     started = led.withColumns({"k": F.row_number().over(own), "out": F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     starts = started.where("k = 1").select(F.col("u").alias("v"), F.col("out").alias("out_v"))

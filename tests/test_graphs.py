@@ -35,8 +35,9 @@ def test_triangles_of_any_graph(spark):
     loose = [(draw.randrange(40, 100), draw.randrange(40, 100)) for _ in range(300)]
     hub = [(500, n) for n in range(40, 160)]
     pairs = core + leaves + loose + hub + [(b, a) for a, b in leaves[:40]] + core[:9] + [(7, 7), (None, 3), (4, None), (None, None)]
-    got = sorted(map(tuple, triangles(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()))
-    assert got == brute(pairs) and len(got) > 300
+    for told in (1 << 19, 20, 0):  # all degrees, those of some nodes, or none are broadcast
+        got = sorted(map(tuple, triangles(spark.createDataFrame(pairs, "a bigint, b bigint"), told).collect()))
+        assert got == brute(pairs) and len(got) > 300
     assert triangles(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
